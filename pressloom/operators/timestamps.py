@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.runtime import extended
+
 US = 1_000_000
 NONE = np.iinfo(np.int64).min
 
@@ -410,7 +412,7 @@ def to_utc_micros(df: DataFrame, value: str, zone: str, out: str = "utc_us") ->
     v, m = "__value", "__mask"
     src = df.withColumn(v, tidy(F.col(value))).withColumn(m, shape_mask(F.col(v)))
     keep = list(df.columns)
-    schema = df.select(*keep).schema.add(out, "long", True)
+    schema = extended(df, **{out: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tz_version() != version:

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest number of rows of a side that may be broadcast. Above it the plain join is left to the planner.
 BROADCAST_ROWS = 20_000
@@ -46,3 +47,11 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with further nullable columns (name=type)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind, True)
+    return out
