@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folding"]
+MODULES = ["folding", "repeated_lines"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
