@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folding", "repeated_lines"]
+MODULES = ["folding", "repeated_lines", "leakage"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
