@@ -75,8 +75,8 @@ class Model:
             self.char[k[1]] = max(self.char.get(k[1], self.floor), math.log(v / self.n))
 
     def score(self, text: str) -> float:
-        """Log-likelihood of the non-ASCII characters, and a bonus for known words."""
-        s = sum(self.log.get(c, self.floor) for c in contexts(text))
+        """Log-likelihood of the non-ASCII characters (no-break spaces stand anywhere), and a bonus for known words."""
+        s = sum(self.log.get(c, self.floor) for c in contexts(text) if c[1] != "\xa0")
         return s + WORD_BONUS * sum(w.lower() in self.words for w in WORD.findall(text))
 
 
@@ -227,7 +227,11 @@ def restore(text: str, model: Model) -> str | None:
                     break
                 t = undo_utf8(t, name, model)
             if i in done:
-                gains += model.score(done[i]) - model.score(s)
+                gain = model.score(done[i]) - model.score(s)
+                if gain > 0:
+                    gains += gain
+                else:
+                    del done[i]
         if done and gains > best[0]:
             best = (gains, name, done)
     fixed = dict(best[2])
@@ -243,7 +247,8 @@ def restore(text: str, model: Model) -> str | None:
                 t = undo_single(seen[i], read_as, written)
                 if t is None or t == seen[i]:
                     continue
-                g = model.score(t) - model.score(seen[i])
+                spaces = max(0, t.count("\xa0") - seen[i].count("\xa0"))
+                g = model.score(t) - model.score(seen[i]) + spaces * model.floor
                 whole = undo_single(lines[i], read_as, written)
                 if g > 0 and whole is not None:
                     gains += g
