@@ -38,7 +38,7 @@ PHRASES = re.compile(
     r"(?i)\b(?:page not found|not found on this server|404 not found|40[0-9] (?:error|forbidden)|50[0-9] (?:bad gateway|service|internal|gateway)|http/\d\.\d [45]\d\d"
     r"|internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|try again (?:in|later)|access denied|permission to access"
     r"|request blocked|you have been blocked|too many requests|fatal error|uncaught exception|timeouterror|timed out|connection failed|errno|stack trace|traceback"
-    r"|down for maintenance|be back shortly|session has expired|no results\. the article|removed or never existed|nothing to see here|something went wrong|can.t find the page|page you are looking for|failed to open stream"
+    r"|down for maintenance|be back shortly|session has expired|sitzung ist abgelaufen|session (?:a|est) expiré|sesión ha (?:caducado|expirado)|sessão expirou|no results\. the article|removed or never existed|nothing to see here|something went wrong|can.t find the page|page you are looking for|failed to open stream|couldn.t load|sample post|edit or delete it"
     r"|enable (?:javascript|scripts|cookies|js)|javascript (?:is )?(?:turned on|required|disabled|to continue)|without scripts enabled|turn on js|requires? (?:a modern browser|javascript)"
     r"|checking your browser|verify you are human|complete the captcha|<title>error"
     r"|page introuvable|n’existe pas|n'existe pas|accès refusé|une erreur est survenue|momentanément indisponible|activer javascript|activez javascript|texte factice|texte provisoire"
@@ -52,6 +52,8 @@ ENDS = re.compile(r"[.!?]\W{0,3}$|[.!?][”\"»“’')\]]?$")
 BULLET = re.compile(r"^\s*(?:[-*•–·‣]|\d+[.)])\s+")
 SPLITS = re.compile(r" [|·/>»•] |\s{2,}")
 TITLE = re.compile(r"[^\W_]+")
+# Words that introduce a list of tags.
+TAGS = re.compile(r"(?i)^\W*(?:tags?|topics?|keywords|etiquetas|temas|palabras clave|mots-clés|sujets|étiquettes|schlagwörter|themen|assuntos|palavras-chave)\s*:")
 
 
 def open_slots(line: str) -> int:
@@ -118,7 +120,7 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
                 kind = RESIDUE if not many or open_slots(s) or PHRASES.search(s) else FURNITURE
             elif w and (w == key or w in titles):
                 kind = HEADLINE
-            elif many or " > " in s or " | " in s:
+            elif many or " > " in s or " | " in s or TAGS.match(s):
                 kind = FURNITURE
             elif len(s) >= 50 and ends and wordy:
                 kind = PROSE
@@ -193,7 +195,11 @@ def page_numbers(lines: list[str], logp: np.ndarray, title: str | None) -> list[
     p = np.exp(logp)
     chars = np.array([len(s) for s in lines])
     slots = sum(open_slots(s) for s in lines)
-    prose = np.array([k == PROSE and (len(s) > 80 or not is_phrase(s)) for s, k in zip(lines, kind, strict=True)], bool)
+    # a sentence that breaks off can only be the last line; elsewhere a line without an end is no prose
+    last = len(lines) - 1
+    prose = np.array(
+        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (len(s) > 80 or not is_phrase(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
+    )
     tw = set(title_words(title))
     own = [set(title_words(s)) for s, k in zip(lines, kind, strict=True) if k == PROSE]
     shared = max((len(w & tw) for w in own), default=0)
@@ -226,6 +232,9 @@ def page_features(feats: list[list[int]], logp: np.ndarray) -> list[int]:
 class PageModel:
     """Linear classifier of pages over hashed n-grams of what stands in the article's place, length and title features."""
 
+    #: Length and title features count so many times: n-grams only tip what they leave open.
+    SCALE = 3.0
+
     def fit(self, pages: list, lines: Lines) -> PageModel:
         xs, extra, ys = [], [], []
         for r, labelled in pages:
@@ -237,12 +246,12 @@ class PageModel:
             xs.append(page_features(feats, lp))
             extra.append(page_numbers(ls, lp, r.title))
             ys.append(y)
-        self.w = self._train(xs, np.array(extra).reshape(-1, EXTRA), np.array(ys, int))
+        self.w = self._train(xs, self.SCALE * np.array(extra).reshape(-1, EXTRA), np.array(ys, int))
         return self
 
     def _train(self, feats: list[list[int]], extra: np.ndarray, y: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
         if not len(y) or y.min() == y.max():
-            return np.zeros(0), np.array([6.0, 0, -6.0] + [0.0] * (EXTRA - 3)), 0.0
+            return np.zeros(0), np.array([6.0, 0, -6.0, 0, 0, 6.0] + [0.0] * (EXTRA - 6)), 0.0
         flat, sizes = joined(feats)[0], np.array([len(f) for f in feats])
         each = np.repeat(np.arange(len(y)), sizes)
         used = np.unique(flat)
@@ -264,7 +273,7 @@ class PageModel:
 
     def logit(self, feats: list[list[int]], extra: np.ndarray) -> np.ndarray:
         w, v, b = self.w
-        z = extra @ v + b
+        z = self.SCALE * extra @ v + b
         if len(w) and feats:
             flat, sizes = joined(feats)[0], np.array([len(f) for f in feats])
             each = np.repeat(np.arange(len(feats)), sizes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folding", "repeated_lines", "leakage", "history", "mojibake", "packing", "residue"]
+MODULES = ["folding", "repeated_lines", "leakage", "history", "mojibake", "packing", "residue", "furniture", "truncation"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
