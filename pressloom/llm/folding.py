@@ -30,7 +30,8 @@ from pyspark.sql.types import BooleanType
 
 from pressloom.runtime import cut, extended, table
 
-TOP = 0x20000
+#: No letter or digit stands above this code point.
+TOP = 0x33000
 #: Ways into which the rows of one group are spread when they meet their group's first row.
 SALTS = 16
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -88,10 +89,10 @@ def fold_hash(values: pa.Array) -> np.ndarray:
 def _hash(cp: np.ndarray, lengths: np.ndarray, out: np.ndarray) -> np.ndarray:
     fold, size, more = fold_table()
     low = np.minimum(cp, TOP - 1)
-    k = np.where(cp < TOP, size[low], 1)
+    k = np.where(cp < TOP, size[low], 0)
     row = np.repeat(np.arange(len(lengths)), lengths)
     rows = np.repeat(row, k)
-    f = np.repeat(np.where(cp < TOP, fold[low], cp % TOP), k)
+    f = np.repeat(fold[low], k)
     if more and (k > 1).any():
         ends = np.cumsum(k)
         for i in np.flatnonzero(k > 1):
