@@ -102,15 +102,15 @@ def rss(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
     a = a.select("title", F.col("link").alias("url"), F.col("pubDate").alias("raw"), F.coalesce("description", "encoded").alias("html"), "author")
     b = _xml(
         spark, o["path"], "entry",
-        "title string, link array<struct<_href: string, _rel: string>>, published string, updated string, created string, summary string, content string, author struct<name: string>",
+        "title string, link array<struct<_href: string, _rel: string>>, published string, updated string, created string, summary string, content string, author array<struct<name: string>>",
     )
     b = b.select(
         "title", F.get(F.col("link"), F.lit(0))["_href"].alias("url"), F.coalesce("published", "updated", "created").alias("raw"),
-        F.coalesce("summary", "content").alias("html"), F.col("author.name").alias("author"),
+        F.coalesce("summary", "content").alias("html"), F.array_join(F.transform("author", lambda x: x["name"]), ", ").alias("author"),
     )
     both = a.unionByName(b).withColumn("position", F.monotonically_increasing_id())
     items = dated(both, "raw").withColumn("summary", F.left(read_html("html")["text"], F.lit(4000)))
-    items = items.filter((F.coalesce(F.trim("title"), F.lit("")) != "") | (F.coalesce(F.trim("url"), F.lit("")) != ""))
+    items = items.filter((strip(F.coalesce("title", F.lit(""))) != "") | (strip(F.coalesce("url", F.lit(""))) != ""))
     items = term_filter(window_floor(items, since), o.get("include"), o.get("exclude"))
     if o.get("full_text") and o.get("articles"):
         pages = spark.read.parquet(o["articles"]).select(F.col("url"), F.col("html").alias("page")).dropDuplicates(["url"])
@@ -204,7 +204,7 @@ def imap(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
             for t in terms:
                 hit = hit | F.contains(F.lower(F.col(col)), F.lit(t.lower()))
             m = m.filter(hit)
-    m = window_floor(m.filter(F.coalesce(F.trim("text"), F.lit("")) != ""), since)
+    m = window_floor(m.filter(strip(F.coalesce("text", F.lit(""))) != ""), since)
     m = top(m, limit_of(cfg), [F.desc("path")], "position")
     return shaped(
         m.select(
