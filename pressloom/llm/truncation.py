@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.pages import FURNITURE, HEADLINE, PROSE, SAMPLE, SUBHEAD, Lines, load, residue_pages, title_words, train_pages
-from pressloom.runtime import small_side, table
+from pressloom.runtime import cut, small_side, table
 
 #: A length is a limit if at least LEAST values of a source's field stand at it, and TIMES as many as at a length nearby.
 LEAST, TIMES, NEAR, SHORTEST = 6, 6.0, 12, 60
@@ -93,7 +93,7 @@ def cut_values(items: DataFrame, bound: int = SAMPLE) -> DataFrame:
     vals = values(items)
     last = F.trim(F.substring_index(F.regexp_replace("value", r"(?U)[\s\p{Z}]+$", ""), "\n", -1))
     open_end = ~F.col("last").rlike(J_WHOLE) | F.col("last").rlike(J_MARK)
-    found = small_side(limits(vals).groupBy("source", "field").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
+    found = small_side(cut(limits(vals).groupBy("source", "field").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))))
     at = F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("int").alias("length")) for m, c in lengths(F.col("value")).items()))
     candidates = (
         vals.withColumn("last", last)
@@ -155,9 +155,9 @@ def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's values, cut values and their share, by field."""
     items = table(spark, sf_dir, "items")
-    cut = cut_values(items).withColumn("cut", F.lit(1))
+    marked = cut_values(items).withColumn("cut", F.lit(1))
     return (
-        values(items).select("item_id", "source", "field").join(cut, ["item_id", "field"], "left").groupBy("source", "field")
+        values(items).select("item_id", "source", "field").join(marked, ["item_id", "field"], "left").groupBy("source", "field")
         .agg(F.count(F.lit(1)).alias("n_values"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count(F.lit(1)), 6).alias("share"))
     )
 
