@@ -499,3 +499,33 @@ def event_weeks(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy("event_type", F.window("ts", "7 days", startTime="4 days").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("event_type", F.unix_micros("w.start").alias("week_us"), "n")
+
+
+@query()
+def digest_lines(spark, d):
+    """The last week's digest as numbered Markdown lines: at most 36 clusters and 12 newsletters reach the driver (the cut)."""
+    members = weekly_members(spark, d)
+    last = members.agg(F.max("window")).first()[0]
+    members = members.filter(F.col("window") == (last or ""))
+    ranked = cluster.rank_clusters(members).filter("rank <= 36")
+    view = item_view(spark, d)
+    heads = (
+        ranked.join(cluster.ordered_sources(members), ["window", "cluster"])
+        .join(view.select(F.col("ord").alias("founder_ord"), F.col("title").alias("headline"), "url", text.first_sentence(text.body(F.col("summary"), F.col("text"))).alias("one_liner")), "founder_ord")
+        .join(members.select(F.col("ord").alias("founder_ord"), "topic"), "founder_ord")
+    )
+    also = members.filter("position > 0").join(view.select("ord", "url"), "ord").withColumn(
+        "n", F.row_number().over(Window.partitionBy("window", "cluster").orderBy("position"))
+    )
+    also = also.filter("n between 2 and 3").groupBy("window", "cluster").agg(F.array_sort(F.collect_list(F.struct("n", "source", "url"))).alias("also"))
+    rows = heads.join(also, ["window", "cluster"], "left").orderBy("rank").collect()
+    clusters = [
+        {"headline": r.headline, "url": r.url, "sources": r.sources, "topic": r.topic, "importance": r.importance, "size": r.size, "one_liner": r.one_liner,
+         "also": [(x.source, x.url) for x in r.also or []]} for r in rows
+    ]
+    letters = ops.lanes(view.filter(text.week_label(F.col("published")) == F.lit(last or "")))[1]
+    letters = ops.top(letters, 12, [F.desc_nulls_last("published"), F.col("ord")]).orderBy("rank").collect()
+    letters = [{"title": r.title, "source": r.source, "date": r.published.date().isoformat() if r.published else None} for r in letters]
+    n_sources = view.filter(text.week_label(F.col("published")) == F.lit(last or "")).select("source").distinct().count()
+    lines = reports.render(clusters, letters, n_sources).split("\n")
+    return spark.createDataFrame([(i, s) for i, s in enumerate(lines, 1)], "line_no int, line string")
