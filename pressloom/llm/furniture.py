@@ -94,7 +94,7 @@ def nodes(pages: list[tuple[str | None, str | None, list[str]]], logp: np.ndarra
             base[i] = (
                 np.log(share.get(line_hash(source, s, seeds), 1e-4)) if short else -9.2,
                 len(s), words, len(s) / words, bool(ENDS.search(s[-6:])), bool(BULLET.match(s)), len(SEPARATOR.findall(s)) if short else 0,
-                any(c.isdigit() for c in s[:60]), both / len(ws) if ws else 0, both / len(tw) if tw else 0, s[:1].isupper(), s[-1:] == ":" or s[-1:] == ",", s.isupper(), "©" in s or "@" in s,
+                DIGITS.search(s) is not None, both / len(ws) if ws else 0, both / len(tw) if tw else 0, s[:1].isupper(), s[-1:] == ":" or s[-1:] == ",", s.isupper(), "©" in s or "@" in s,
             )
             page[i], pos[i], size[i] = k, j, len(ls)
             i += 1
