@@ -207,6 +207,15 @@ def test_batches_agree_with_one_pass(spark, data):
     assert got and {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want}
 
 
+def test_large_groups_give_the_same_links(spark, data, monkeypatch):
+    rows, sources = history._rows(spark, data)
+    pairs = lambda: {tuple(r) for r in history.pairs(history.stories(rows, sources)).collect()}
+    want = pairs()
+    monkeypatch.setattr(history, "FEW", 1)
+    monkeypatch.setattr(history, "VOCABULARY", 0)
+    assert want and pairs() == want
+
+
 def test_variants_cover_two_words():
     def near(a, b):
         return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
