@@ -58,7 +58,7 @@ def repetition(items: DataFrame) -> dict[int, float]:
     """xxhash64(source, folded line) -> share of the source's titles with which the line stands."""
     source = F.coalesce("source", F.lit(""))
     some = items.filter("text is not null and text <> ''").select(
-        F.xxhash64(source).alias("s"), source.alias("source"), F.xxhash64(F.lower(F.trim(F.coalesce("title", F.lit(""))))).alias("t"), "text"
+        F.xxhash64(source).alias("s"), source.alias("source"), F.xxhash64(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+", "")).alias("t"), "text"
     )
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)).between(1, 240)), folded_column))
     each = some.select("s", "t", F.explode(F.transform(lines, lambda x: F.xxhash64("source", x))).alias("h"))

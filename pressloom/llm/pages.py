@@ -77,6 +77,14 @@ def is_phrase(line: str) -> bool:
     return bool(PHRASES.search(line) or BARE.match(line) or (rest != line and len(re.sub(r"\W", "", rest)) < 4))
 
 
+NAMED = re.compile(r"[a-zà-ÿ,] [A-ZÀ-Þ][\w’]+ [A-ZÀ-Þ][\w’]+")
+
+
+def speaks_of(line: str) -> bool:
+    """A long sentence that names somebody: it tells of such a phrase, it is not one."""
+    return len(line) > 80 and NAMED.search(line) is not None
+
+
 def sample(items: DataFrame, bound: int = SAMPLE) -> list[Row]:
     """At most ``bound`` items with text, chosen by the hash of the id."""
     some = items.filter("text is not null and trim(text) <> ''").select("item_id", "source", "title", "text")
@@ -91,6 +99,7 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
     held: dict[tuple[str, str], set[str]] = defaultdict(set)
     hosts: dict[str, set[str]] = defaultdict(set)
     titles = {" ".join(title_words(r.title)) for r in sampled if r.title}
+    stories: dict[str, set[str]] = defaultdict(set)
     masks: dict[str, set[str]] = defaultdict(set)
     early, mask_n = Counter(), Counter()
     pages = []
@@ -102,6 +111,7 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
             f, m = folded(s), " ".join(tokens(s))
             held[r.source or "", f].add(key)
             hosts[f].add(r.source or "")
+            stories[f].add(key)
             masks[m].add(f)
             mask_n[m] += 1
             early[m] += top
@@ -113,17 +123,17 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
         labelled = []
         for k, (n, s) in enumerate(lines):
             f, m, w = folded(s), " ".join(tokens(s)), " ".join(title_words(s))
-            many = len(held[r.source or "", f]) >= 3 or len(hosts[f]) >= 3
+            many = len(held[r.source or "", f]) >= 3 or len(hosts[f]) >= 3 or ("X" not in m and len(stories[f]) >= 2)
             ends, wordy = bool(ENDS.search(s)), sum(t.islower() and t != "x" for t in tokens(s)) >= 5
             kind = -1
-            if is_phrase(s) and not (len(s) > 80 and any(q in s for q in "“«„")):
+            if is_phrase(s):
                 kind = RESIDUE if not many or open_slots(s) or PHRASES.search(s) else FURNITURE
             elif w and (w == key or w in titles):
                 kind = HEADLINE
             elif many or " > " in s or " | " in s or TAGS.match(s):
                 kind = FURNITURE
-            elif len(s) >= 50 and ends and wordy:
-                kind = PROSE
+            elif len(s) >= 50 and ends and wordy and "X" in m:
+                kind = PROSE  # sentences that name nobody stay open: they may be notices
             elif not ends and len(s) < 90 and mask_n[m] >= 4 and len(masks[m]) >= 3 and early[m] >= 0.9 * mask_n[m] and "X" in m:
                 kind = FURNITURE  # bylines: one form, many names, always above the first paragraph
             elif not ends and len(s) < 70 and 0 < k < len(lines) - 1 and early[m] <= 0.5 * mask_n[m]:
@@ -131,6 +141,10 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
                 if len(after) > 60 and ENDS.search(after) and len(held[r.source or "", folded(after)]) < 3:
                     kind = SUBHEAD
             labelled.append((n, s, kind))
+        if any(kind == PROSE for *_, kind in labelled):
+            # where an article stands, a sentence with such a phrase is one of its own, and a short line may be anything
+            own = lambda s: PROSE if len(s) > 60 and ENDS.search(s) else -1
+            labelled = [(n, s, own(s) if kind == RESIDUE and not open_slots(s) else kind) for n, s, kind in labelled]
         out.append((r, labelled))
     return out
 
@@ -198,7 +212,7 @@ def page_numbers(lines: list[str], logp: np.ndarray, title: str | None) -> list[
     # a sentence that breaks off can only be the last line; elsewhere a line without an end is no prose
     last = len(lines) - 1
     prose = np.array(
-        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (len(s) > 80 or not is_phrase(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
+        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (not is_phrase(s) or speaks_of(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
     )
     tw = set(title_words(title))
     own = [set(title_words(s)) for s, k in zip(lines, kind, strict=True) if k == PROSE]
