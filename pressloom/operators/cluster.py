@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
-from pressloom.operators.items import cap
+from pressloom.operators.items import cap, global_index
 
 
 def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,6 +117,11 @@ def event_components(items: DataFrame) -> DataFrame:
     )
 
 
+def missing_rank(rows: DataFrame) -> DataFrame:
+    """index, k: position among the rows left over."""
+    return global_index(rows, [F.col("index").asc()], "k")
+
+
 def resolve_members(groups: DataFrame, n_items: DataFrame) -> DataFrame:
     """index, grp: the group of every item under a grouping reply (grp, members array).
 
@@ -124,7 +129,6 @@ def resolve_members(groups: DataFrame, n_items: DataFrame) -> DataFrame:
     once); items that no group names become groups of their own, after all others, in order. ``n_items``: index."""
     named = groups.select("grp", F.explode("members").alias("index")).groupBy("index").agg(F.min("grp").alias("grp"))
     kept = n_items.select("index").distinct().join(named, "index", "left")
-    top = groups.agg(F.coalesce(F.max("grp") + 1, F.lit(0)).alias("top"))
-    missing = kept.filter("grp is null").select("index", (F.row_number().over(Window.orderBy("index")) - 1).alias("k"))
-    singles = missing.join(F.broadcast(top)).select("index", (F.col("top") + F.col("k")).cast("long").alias("grp"))
+    top = groups.agg(F.coalesce(F.max("grp") + 1, F.lit(0))).first()[0]  # one number
+    singles = missing_rank(kept.filter("grp is null").select("index")).select("index", (F.lit(top) + F.col("k")).cast("long").alias("grp"))
     return kept.filter("grp is not null").select("index", F.col("grp").cast("long").alias("grp")).unionByName(singles)

@@ -407,7 +407,9 @@ def shape_mask(value: Column) -> Column:
 
 
 def to_utc_micros(df: DataFrame, value: str, zone: str, out: str = "utc_us") -> DataFrame:
-    """Append ``out`` (bigint, null where ``value`` states no date) to ``df``. ``zone`` holds the default zone's name."""
+    """Append ``out`` (bigint, null where ``value`` states no date; a column of that name is replaced) to ``df``.
+    ``zone`` holds the default zone's name."""
+    df = df.drop(out) if out not in (value, zone) else df
     version = tz_version()
     v, m = "__value", "__mask"
     src = df.withColumn(v, tidy(F.col(value))).withColumn(m, shape_mask(F.col(v)))

@@ -49,7 +49,7 @@ CASES = [
 
 def test_cases_nulls_repeats_and_extra_columns(spark):
     rows = [(k, v, z, "kept") for k, (v, z, _) in enumerate(CASES + CASES[:3])]
-    df = spark.createDataFrame(rows, "id int, v string, z string, `mask` string")
+    df = spark.createDataFrame(rows, "id int, v string, z string, mask string").selectExpr("*", "'old' AS utc_us")
     got = {r.id: r for r in to_utc_micros(df, "v", "z").collect()}
     assert len(got) == len(rows) and all(r.mask == "kept" for r in got.values())
     wrong = [(c[0], got[k].utc_us, c[2]) for k, c in enumerate(CASES + CASES[:3]) if got[k].utc_us != c[2]]
