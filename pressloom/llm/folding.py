@@ -191,7 +191,8 @@ def same_url(a: str | None, b: str | None) -> bool:
 
 
 def copy_hashes(df: DataFrame) -> DataFrame:
-    """Append h1, h2 (bigint, null: no copy of anything) to rows with source_type, title and url."""
+    """Append h1, h2 (bigint, null: no copy of anything; columns of these names are replaced) to rows with source_type, title and url."""
+    df = df.drop("h1", "h2")
     schema = extended(df, h1="long", h2="long")
     names = df.columns
 
@@ -280,3 +281,22 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts}
+
+
+def _f(x: str) -> str:
+    return rf"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+ORACLES = {
+    "p6_found": rf"""
+WITH i AS (SELECT item_id AS id, source_type, coalesce(title, '') AS title, coalesce(url, '') AS url FROM items),
+u AS (SELECT *, regexp_extract(url, '(?s)^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', ['p', 'q', 'f']) AS u FROM i),
+g AS (
+  SELECT 'items' AS tab, id, {_f("title")} AS t, CASE WHEN trim(url) = '' THEN 'n' || {_f("source_type")} ELSE 'u' || {_f("url_decode(u.p)")} || '?' ||
+    array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(u.q, '&'), lambda x: {_f("x")} <> ''),
+      lambda x: {_f("url_decode(regexp_extract(x, '^([^=]*)', 1))")} || '=' || {_f("url_decode(regexp_extract(x, '(?s)=(.*)$', 1))")}))), '&')
+    || '#' || {_f("url_decode(u.f)")} END AS k FROM u
+  UNION ALL SELECT 'seen_items', seen_id, {_f("coalesce(key, '')")}, 'n' FROM seen_items),
+k AS (SELECT tab, id, t, k, min(id) OVER (PARTITION BY tab, t, k) AS keep_id FROM g WHERE t <> '' OR k LIKE 'u_%')
+SELECT DISTINCT tab, keep_id, id AS dup_id FROM k WHERE id > keep_id"""
+}

@@ -45,11 +45,16 @@ def test_copies_and_odd_rows(spark):
         ("items", 11, "rss", "X" * 200_000, "https://a.example/LONG"),
     ]
     df = spark.createDataFrame(rows, "tab string, id long, source_type string, title string, url string")
-    got = {(r.tab, r.keep_id, r.dup_id) for r in folding.copies(df).collect()}
+    df = df.selectExpr("*", "'clash' AS h1", "1 AS salt")
+    got = {(r.tab, r.keep_id, r.dup_id) for r in folding.copies(df.drop("salt")).collect()}
     assert got == {("items", 1, 2), ("items", 1, 4), ("items", 5, 6), ("seen_items", 1, 2), ("items", 10, 11)}
     assert folding.copies(df.limit(0)).count() == 0
 
 
+def test_copies_against_sql(spark, data):
+    compare(folding.QUERIES["p6_found"](spark, data), views(data), folding.ORACLES["p6_found"])
+
+
 def test_colliding_texts_are_not_merged(spark):
     assert not folding.skipping_equal("ab", "abc") and not folding.same_url("https://a/x?p=1", "https://a/x?p=2")
     assert folding.same_url("https://a/x?p=1&q=2", "https://a/x?q=2&p=1&p=1")
