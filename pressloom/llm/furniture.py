@@ -78,6 +78,22 @@ def line_hash(source: str | None, line: str, seeds: dict) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def own_features(source: str | None, s: str, share: dict[int, float], memo: dict) -> tuple[tuple, frozenset]:
+    """What a line's features are without its page (8 and 9 stay open), and its words; kept for short lines, which come again."""
+    short, words = len(s) <= 240, s.count(" ") + 1
+    got = (
+        (
+            np.log(share.get(line_hash(source, s, memo), 1e-4)) if short else -9.2,
+            len(s), words, len(s) / words, bool(ENDS.search(s[-6:])), bool(BULLET.match(s)), len(SEPARATOR.findall(s)) if short else 0,
+            DIGITS.search(s) is not None, 0, 0, s[:1].isupper(), s[-1:] == ":" or s[-1:] == ",", s.isupper(), "©" in s or "@" in s,
+        ),
+        frozenset(title_words(s)) if short else frozenset(),
+    )
+    if len(s) < 60 and len(memo) < 100_000:
+        memo[source, s] = got
+    return got
+
+
 def nodes(pages: list[tuple[str | None, str | None, list[str]]], logp: np.ndarray, share: dict[int, float], seeds: dict) -> tuple[np.ndarray, np.ndarray]:
     """Features of every line of the pages (source, title, lines), and the number of its block."""
     n = sum(len(ls) for *_, ls in pages)
@@ -87,15 +103,12 @@ def nodes(pages: list[tuple[str | None, str | None, list[str]]], logp: np.ndarra
     for k, (source, title, ls) in enumerate(pages):
         tw = set(title_words(title))
         for j, s in enumerate(ls):
-            short = len(s) <= 240
-            ws = set(title_words(s)) if short and tw else ()
-            both = len(tw & ws) if ws else 0
-            words = s.count(" ") + 1
-            base[i] = (
-                np.log(share.get(line_hash(source, s, seeds), 1e-4)) if short else -9.2,
-                len(s), words, len(s) / words, bool(ENDS.search(s[-6:])), bool(BULLET.match(s)), len(SEPARATOR.findall(s)) if short else 0,
-                DIGITS.search(s) is not None, both / len(ws) if ws else 0, both / len(tw) if tw else 0, s[:1].isupper(), s[-1:] == ":" or s[-1:] == ",", s.isupper(), "©" in s or "@" in s,
-            )
+            known = seeds.get((source, s)) or own_features(source, s, share, seeds)
+            base[i] = known[0]
+            ws = known[1]
+            if ws and tw:
+                both = len(tw & ws)
+                base[i, 8], base[i, 9] = both / len(ws), both / len(tw)
             page[i], pos[i], size[i] = k, j, len(ls)
             i += 1
     if not n:

@@ -46,7 +46,7 @@ def tokens(line: str) -> list[str]:
 
 
 def features(line: str) -> list[int]:
-    """Hashed unigrams and bigrams, first and last token, and the line's form."""
+    """Hashes (below 2**63; ``joined`` brings them into DIM) of unigrams and bigrams, first and last token, and the line's form."""
     get, hs, x = _WORDS.get, [], 0
     for k, t in enumerate(TOKEN.findall(line)):
         h, name = get(t) or _word(t)
@@ -66,7 +66,7 @@ def features(line: str) -> list[int]:
     grams.add(0x54000 + min(12, len(hs)))
     if hs:
         grams.update((hs[0] * 7919 + 1, hs[-1] * 7919 + 2, 0x55000 + line.isupper()))
-    return [g * 2654435761 >> 13 & DIM - 1 for g in grams]
+    return list(grams)
 
 
 def rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +75,12 @@ def rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def joined(feats: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All features in a row, in DIM, and where each line's begin."""
     sizes = np.fromiter((len(f) for f in feats), np.int64, len(feats))
-    flat = np.fromiter(itertools.chain.from_iterable(feats), np.int64, int(sizes.sum()))
-    return flat, np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(feats), np.uint64, int(sizes.sum()))
+    with np.errstate(over="ignore"):
+        flat = (flat * np.uint64(2654435761) >> np.uint64(13)) & np.uint64(DIM - 1)
+    return flat.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, np.int64)
 
 
 def scores(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -212,11 +212,11 @@ def page_numbers(lines: list[str], logp: np.ndarray, title: str | None) -> list[
     # a sentence that breaks off can only be the last line; elsewhere a line without an end is no prose
     last = len(lines) - 1
     prose = np.array(
-        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (not is_phrase(s) or speaks_of(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
+        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (speaks_of(s) or not is_phrase(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
     )
     tw = set(title_words(title))
-    own = [set(title_words(s)) for s, k in zip(lines, kind, strict=True) if k == PROSE]
-    shared = max((len(w & tw) for w in own), default=0)
+    said = " ".join(s for s, k in zip(lines, kind, strict=True) if k == PROSE).lower()
+    shared = sum(w in said for w in tw)
     residue = p[:, RESIDUE] if lines else np.zeros(0)
     bare = not prose.any()  # what else the page says counts only where no article stands
     return [
@@ -240,7 +240,7 @@ def page_label(labelled: list[tuple[int, str, int]]) -> int | None:
 def page_features(feats: list[list[int]], logp: np.ndarray) -> list[int]:
     """n-grams of the lines that are neither furniture nor headline: of what stands in the article's place."""
     kind = logp.argmax(axis=1) if len(feats) else []
-    return sorted({i for f, k in zip(feats, kind, strict=True) if k in (PROSE, RESIDUE, SUBHEAD) for i in f})
+    return list({i for f, k in zip(feats, kind, strict=True) if k in (PROSE, RESIDUE, SUBHEAD) for i in f})
 
 
 class PageModel:
