@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
 from pressloom.operators.items import cap, global_index
+from pressloom.runtime import cut
 
 
 def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,17 +86,16 @@ def distinct_titles(items: DataFrame) -> DataFrame:
 def similar_pairs(items: DataFrame) -> DataFrame:
     """a, b (a < b): pairs of distinct token sets that are similar. Complete, by prefix filtering.
 
-    A pair that is similar shares at least ceil(|x|/2) tokens of either set by the first rule and 4/5 of the smaller
-    one by the second, so it shares one of the |x| - ceil(|x|/2) + 1 rarest tokens of the smaller set under one global
-    order (document frequency, then the token). Only those prefixes meet all tokens of larger sets: frequent tokens, and
-    with them hot keys, stand at the end of the order and mostly outside every prefix.
+    A pair that is similar shares at least 2/3 of the smaller set by the first rule (3 x shared >= |x| + |y| >= 2 |x|) and
+    4/5 of it by the second, so it shares one of the |x| - ceil(2 |x| / 3) + 1 rarest tokens of the smaller set x under one
+    global order (document frequency, then the token). Only those prefixes meet all tokens of larger sets: frequent tokens,
+    and with them hot keys, stand at the end of the order and mostly outside every prefix.
     """
     t = distinct_titles(items)
     tokens = t.select("t", F.explode("tokens").alias("w"), F.size("tokens").alias("n"))
     df = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    order = tokens.join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "w")))
-    # of the smaller set at least half its size is shared under either rule (0.8 n >= n / 2)
-    prefix = order.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select("w", F.col("t").alias("a"), F.col("n").alias("na"))
+    order = cut(tokens.join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "w"))))
+    prefix = order.filter(F.col("k") <= F.col("n") - F.ceil(2 * F.col("n") / 3) + 1).select("w", F.col("t").alias("a"), F.col("n").alias("na"))
     other = order.select("w", F.col("t").alias("b"), F.col("n").alias("nb"))
     cand = prefix.join(other, "w").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     cand = cand.select("a", "b").distinct()
@@ -106,7 +106,7 @@ def similar_pairs(items: DataFrame) -> DataFrame:
 
 def event_components(items: DataFrame) -> DataFrame:
     """ord, event, n_links: connected components of similar headlines, one row per item. Not the sequential method."""
-    pairs = similar_pairs(items)
+    pairs = cut(similar_pairs(items))
     parts = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_links"))
     rows = items.select("ord", F.array_sort(title_tokens(F.col("title"))).alias("tokens")).withColumn("t", F.xxhash64("tokens"))
