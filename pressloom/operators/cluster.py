@@ -1,9 +1,9 @@
 """Grouping items about one event.
 
 ``leader_clusters`` is the exact sequential method: items in rank order join the first cluster whose signature (the
-union of its members' headline tokens) is similar. It is sequential by nature, so it runs per window (week) over the
-items that passed the per-source cap: a group is bounded by sources x cap, whatever the corpus. ``similar_pairs`` and
-``event_components`` are the scalable relatives without order: candidate pairs come from shared rare tokens.
+union of its members' headline tokens) is similar. It is sequential by nature, so one task takes all items of a window
+(week): the largest window bounds it. ``similar_pairs`` and ``event_components`` are the scalable relatives without
+order: candidate pairs come from shared rare tokens.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
-from pressloom.operators.items import cap, global_index
+from pressloom.operators.items import global_index
 from pressloom.runtime import cut
 
 
@@ -46,16 +46,13 @@ def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"window": pdf["window"].to_numpy(), "ord": pdf["ord"].to_numpy(), "cluster": out, "position": range(len(out))})
 
 
-def leader_clusters(items: DataFrame, window: str, per_source: int = 80) -> DataFrame:
+def leader_clusters(items: DataFrame, window: str) -> DataFrame:
     """window, ord, cluster (founding order from 0), position (rank within the window).
 
-    ``items``: ord, source, title, rank_a, rank_b (both descending, ties by ord) and the window column. Items beyond
-    ``per_source`` of one source and window are not clustered (the cap is the feature: a source's feed limit). Null
-    windows form one window; a title without tokens founds its own cluster.
+    ``items``: ord, title, rank_a, rank_b (both descending, ties by ord) and the window column. All items are clustered.
+    Null windows form one window; a title without tokens founds its own cluster.
     """
-    some = items.select("ord", "source", F.coalesce(F.col(window), F.lit("")).alias("window"), "title", "rank_a", "rank_b")
-    capped = cap(some, ["window", "source"], per_source, [F.col("ord")])
-    toks = capped.select("window", "ord", "rank_a", "rank_b", title_tokens(F.col("title")).alias("tokens"))
+    toks = items.select(F.coalesce(F.col(window), F.lit("")).alias("window"), "ord", "rank_a", "rank_b", title_tokens(F.col("title")).alias("tokens"))
     return toks.groupBy("window").applyInPandas(_leader, "window string, ord long, cluster long, position long")
 
 

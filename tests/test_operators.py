@@ -124,6 +124,16 @@ def test_clusters_against_brute_force(spark):
     assert cluster.event_components(df).count() == len(rows) and cluster.leader_clusters(df.limit(0), "week").count() == 0
 
 
+def test_clusters_keep_all_items_of_a_large_source(spark):
+    rows = [(i, "A" if i < 200 else "B", "2026-W01", f"word{i % 97} thing{i % 97} other{i % 97}", 1 + i % 5, i % 7) for i in range(230)]
+    df = spark.createDataFrame(rows, "ord long, source string, week string, title string, rank_a int, rank_b int")
+    got = cluster.leader_clusters(df, "week").collect()
+    mine = sorted(rows, key=lambda r: (-r[4], -r[5], r[0]))
+    assert [r.ord for r in sorted(got, key=lambda r: r.position)] == [r[0] for r in mine]
+    at = {r.ord: r.cluster for r in got}
+    assert [at[r[0]] for r in mine] == brute_leader([set(r[3].split()) for r in mine])
+
+
 def test_members_of_a_reply(spark):
     groups = spark.createDataFrame([(0, [0, 1, 1, 99]), (1, [1])], "grp long, members array<long>")
     items = spark.createDataFrame([(0,), (1,), (2,)], "index long")
