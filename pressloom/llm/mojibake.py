@@ -2,7 +2,8 @@
 
 Method: noisy-channel decoding. A first pass over the whole corpus counts, for every non-ASCII character, in how many
 documents it stands between which classes of neighbours, and in how many documents each word with a non-ASCII letter
-stands: the language model. A second pass looks at the documents that hold a rare such context. For every channel
+stands: the language model. Lines that some channel decodes as UTF-8 are left out of it, so that garbling, however
+frequent, does not speak for itself. A second pass looks at every document with non-ASCII text. For every channel
 (UTF-8 read as one of several single-byte encodings, once or repeatedly, or one single-byte encoding read as another)
 a line becomes a lattice of bytes, with wildcards where a byte was lost (U+FFFD, or the no-break space 0xA0 that was
 tidied to a space). A Viterbi search over the lattice gives the likeliest character sequence under the model; the best
@@ -37,8 +38,8 @@ WRITTEN = ["cp1252", "mac_roman", "cp850", "cp437"]
 #: Smallest share of documents of a context or word that the model keeps. It bounds the model: no more entries than
 #: the mean number of different ones in a document over this share.
 SHARE = 0.0005
-#: Share of documents below which a context makes a document worth a look; log-likelihood by which a channel must win.
-RARE, MARGIN = 0.01, 3.0
+#: Log-likelihood by which a channel must win.
+MARGIN = 3.0
 ROUNDS = 3
 FLOOR, WORD_BONUS = 1e-4, 2.0
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
@@ -67,12 +68,16 @@ class Model:
     def __init__(self, n: int, chars: dict[str, int], words: dict[str, int]):
         self.n = max(1, n)
         self.log = {k: math.log(v / self.n) for k, v in chars.items()}
-        self.share = {k: v / self.n for k, v in chars.items()}
         self.words = words
         self.floor = math.log(FLOOR)
         self.char: dict[str, float] = {}
         for k, v in chars.items():
             self.char[k[1]] = max(self.char.get(k[1], self.floor), math.log(v / self.n))
+        self.most = {c: m for c in SINGLE if (m := {x: self.at_most(t) for x, t in _pairs(*c).items()})}
+
+    def at_most(self, c: str) -> float:
+        """What a character adds to a score at most, as the sole non-ASCII letter of a known word."""
+        return (0.0 if c == "\xa0" else max(self.floor, self.char.get(c, self.floor))) + WORD_BONUS * c.isalpha()
 
     def score(self, text: str) -> float:
         """Log-likelihood of the non-ASCII characters (no-break spaces stand anywhere), and a bonus for known words."""
@@ -102,6 +107,32 @@ def _decoder(name: str) -> dict[int, str]:
     return out
 
 
+@functools.lru_cache(64)
+def _pairs(read_as: str, written: str) -> dict[str, str]:
+    """Each character that was read and the one that was written."""
+    dec = _decoder(written)
+    return {c: dec[b] for c, b in _encoder(read_as).items() if dec[b]}
+
+
+SINGLE = [(r, w) for r in READ_AS for w in WRITTEN if r != w and {r, w} != {"cp1252", "latin-1"}]
+
+
+@functools.lru_cache(64)
+def _starts(name: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that may stand for the first byte of UTF-8, and those that may stand for a further one."""
+    enc = _encoder(name).items()
+    return frozenset(c for c, b in enc if 0xC2 <= b <= 0xF4), frozenset([*(c for c, b in enc if 0x80 <= b <= 0xBF), "�", " "])
+
+
+def readings(line: str) -> list[str]:
+    """The encodings that the line may have been read as: those under which each run begins as a UTF-8 character does."""
+    # a run's first two characters; a lone one may take the space behind it
+    two = {m[0][:2] if len(m[0]) > 1 else m[0] + line[m.end() : m.end() + 1] for m in RUN.finditer(line)}
+    if not two:
+        return []
+    return [n for n in READ_AS if all(len(t) == 2 and t[0] in _starts(n)[0] and t[1] in _starts(n)[1] for t in two)]
+
+
 RUN = re.compile(r"[^\x00-\x7f]+(?: (?=[^\x00-\x7f]| ))?")
 
 
@@ -183,19 +214,14 @@ def undo_utf8(line: str, name: str, model: Model) -> str | None:
     return "".join([*out, line[last:]]) if changed else None
 
 
+FLAT = Model(1, {}, {})
+
+
 def undo_single(line: str, read_as: str, written: str) -> str | None:
-    enc, dec = _encoder(read_as), _decoder(written)
-    out = []
-    for c in line:
-        if c < "\x80":
-            out.append(c)
-        else:
-            b = enc.get(c)
-            t = dec.get(b, "") if b is not None else ""
-            if not t:
-                return None
-            out.append(t)
-    return "".join(out)
+    pairs = _pairs(read_as, written)
+    if not all(c in pairs for c in NON_ASCII.findall(line)):
+        return None
+    return NON_ASCII.sub(lambda m: pairs[m[0]], line)
 
 
 def without_examples(line: str) -> str:
@@ -211,9 +237,12 @@ def restore(text: str, model: Model) -> str | None:
     looks = [i for i in looks if NON_ASCII.search(seen[i])]
     # UTF-8 read as a single-byte encoding
     best: tuple[float, str, dict[int, str]] = (0.0, "", {})
+    names = {i: readings(lines[i]) for i in looks}
     for name in READ_AS:
         gains, done = 0.0, {}
         for i in looks:
+            if name not in names[i]:
+                continue
             s, bare = lines[i], seen[i]
             if bare != s and undo_utf8(bare, name, model) is None:
                 continue
@@ -238,23 +267,27 @@ def restore(text: str, model: Model) -> str | None:
     # one single-byte encoding read as another
     rest = [i for i in looks if i not in fixed and "�" not in seen[i]]
     channels: list[tuple[float, dict[int, str]]] = []
-    for read_as in READ_AS:
-        for written in WRITTEN:
-            if read_as == written or {read_as, written} == {"cp1252", "latin-1"}:
+    chars = {i: NON_ASCII.findall(seen[i]) for i in rest}
+    scores = {i: model.score(seen[i]) for i in rest}
+    for (read_as, written), most in model.most.items():
+        # no line gains more than its characters can; a channel that cannot win is passed over
+        bounds = {i: sum(most[c] for c in chars[i]) - scores[i] for i in rest if all(c in most for c in chars[i])}
+        bounds = {i: g for i, g in bounds.items() if g > 0}
+        if sum(bounds.values()) <= MARGIN:
+            continue
+        gains, done = 0.0, {}
+        for i in bounds:
+            t = undo_single(seen[i], read_as, written)
+            if t is None or t == seen[i]:
                 continue
-            gains, done = 0.0, {}
-            for i in rest:
-                t = undo_single(seen[i], read_as, written)
-                if t is None or t == seen[i]:
-                    continue
-                spaces = max(0, t.count("\xa0") - seen[i].count("\xa0"))
-                g = model.score(t) - model.score(seen[i]) + spaces * model.floor
-                whole = undo_single(lines[i], read_as, written)
-                if g > 0 and whole is not None:
-                    gains += g
-                    done[i] = whole
-            if gains > MARGIN:
-                channels.append((gains, done))
+            spaces = max(0, t.count("\xa0") - seen[i].count("\xa0"))
+            g = model.score(t) - scores[i] + spaces * model.floor
+            whole = undo_single(lines[i], read_as, written)
+            if g > 0 and whole is not None:
+                gains += g
+                done[i] = whole
+        if gains > MARGIN:
+            channels.append((gains, done))
     if channels:
         fixed.update(max(channels, key=lambda c: c[0])[1])
     lost = any("�" in seen[i] and "�" in without_examples(fixed.get(i, lines[i])) for i in looks)
@@ -265,20 +298,26 @@ def restore(text: str, model: Model) -> str | None:
     return "\n".join(fixed.get(i, s) for i, s in enumerate(lines))
 
 
+def decodes(line: str) -> bool:
+    """Some channel decodes the whole line as UTF-8, and not only by taking spaces for lost bytes."""
+    return any(len(m[0].rstrip(" ")) > 1 for m in RUN.finditer(line)) and any(undo_utf8(line, n, FLAT) is not None for n in readings(line))
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     chars, words, n = Counter(), Counter(), 0
     for b in batches:
         for t in b["text"]:
             n += 1
             if t and not t.isascii():
-                chars.update(set(contexts(t)))
-                words.update({w.lower() for w in WORD.findall(t)})
+                sound = [s for s in t.split("\n") if not s.isascii() and not decodes(s)]
+                chars.update({c for s in sound for c in contexts(s)})
+                words.update({w.lower() for s in sound for w in WORD.findall(s)})
     rows = [("n", "", n), *(("c", k, v) for k, v in chars.items()), *(("w", k, v) for k, v in words.items())]
     yield pd.DataFrame(rows, columns=["kind", "token", "n"])
 
 
 def corpus_model(documents: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
-    """Counts over all documents, kept from a share of SHARE upward (which bounds what the driver receives)."""
+    """Counts over all documents but for lines that decode, kept from a share of SHARE upward (which bounds what the driver receives)."""
     got = documents.select("text").mapInPandas(_counts, "kind string, token string, n long")
     sums = got.groupBy("kind", "token").agg(F.sum("n").alias("n"))
     total = documents.count()
@@ -299,15 +338,11 @@ def restored(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(data.value)
-        common = {k for k, v in model.share.items() if v >= RARE}
-        sign = re.compile("[ÃÂÐÑâ√├Γ┬ÔР�][^\\x00-\\x7f ]| Ã ")
         for b in batches:
             ids, out = [], []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 if not t or t.isascii():
                     continue
-                if all(c in common for c in set(contexts(t))) and not sign.search(t):
-                    continue
                 r = restore(t, model)
                 if r is not None and r != t:
                     ids.append(i)

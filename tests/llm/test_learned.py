@@ -146,6 +146,15 @@ def test_round_trips(spark, documents):
     assert {k for k in want if got[k] != want[k]} == set()
 
 
+@pytest.mark.parametrize("read", ["cp1251", "koi8-r", "cp1252", "iso8859-2"])
+def test_garbling_of_a_third_of_the_documents(spark, read):
+    docs = ["\n\n".join(random.Random(k).choice(CLEAN[:5]) + f" {k}" for k in range(i, i + 4)) for i in range(300)]
+    rows = [(k, wrong(d, "utf-8", read) if k % 3 == 0 else d) for k, d in enumerate(docs)]
+    got = {r.doc_id: r.restored for r in mojibake.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {k for k in range(300) if k % 3 == 0}
+    assert all(got[k] == docs[k] for k in got)
+
+
 def learn_lit(x):
     from pyspark.sql import functions as F
 
