@@ -49,6 +49,18 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ways into which the rows of one key are spread by ``salted_join``.
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined with ``right`` (few rows a key) so that no task holds all rows of a hot key: the left rows of a key go
+    to ``salts`` tasks by the hash of ``spread_by``, and each right row to all of them."""
+    a = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*on, "__salt"], how).drop("__salt")
+
+
 def extended(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with further nullable columns (name=type)."""
     out = StructType(list(df.schema.fields))
