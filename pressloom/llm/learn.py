@@ -1,43 +1,21 @@
-"""Small learners in NumPy: hashed n-grams of lines, softmax regression, gradient-boosted trees on histograms."""
+"""Small learners in NumPy: softmax regression over hashed n-grams, gradient-boosted trees on histograms."""
 
 from __future__ import annotations
 
-import itertools
 import re
-import zlib
 
 import numpy as np
 
-#: Hash space of n-gram features.
-DIM = 1 << 16
-TOKEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+|[^\w\s]|_")
-
-
-_WORDS: dict[str, tuple[int, int]] = {}
-_MASK = zlib.crc32(b"X")
-
+from pressloom.llm.linewise import DIM
 
-def _word(t: str) -> tuple[int, int]:
-    """(hash, kind) of a token; kind 1: a capitalised word, which inside a line counts as a name."""
-    c = t[0]
-    name = 0
-    if c.isdigit():
-        m = "0"
-    else:
-        name = int(c.isalpha() and c.isupper() and not (len(t) > 1 and t.isupper()))
-        m = t.lower()
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    got = _WORDS[t] = zlib.crc32(m.encode()), name
-    return got
+TOKEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+|[^\w\s]|_")
 
 
 def tokens(line: str) -> list[str]:
     """Lower-case words with names masked (capitalised words after the first: X), digits as 0, runs of X as one."""
     out: list[str] = []
     for k, t in enumerate(TOKEN.findall(line)):
-        _, name = _WORDS.get(t) or _word(t)
-        if name and k:
+        if k and t[0].isupper() and not (len(t) > 1 and t.isupper()):
             if not out or out[-1] != "X":
                 out.append("X")
         else:
@@ -45,53 +23,6 @@ def tokens(line: str) -> list[str]:
     return out
 
 
-def features(line: str) -> list[int]:
-    """Hashes (below 2**63; ``joined`` brings them into DIM) of unigrams and bigrams, first and last token, and the line's form."""
-    get, hs, x = _WORDS.get, [], 0
-    for k, t in enumerate(TOKEN.findall(line)):
-        h, name = get(t) or _word(t)
-        if name and k:
-            x += 1
-            if hs and hs[-1] == _MASK:
-                continue
-            h = _MASK
-        hs.append(h)
-    grams = set(hs)
-    grams.update([(a * 1000003 ^ b) for a, b in zip(hs, hs[1:], strict=False)])
-    n = len(line)
-    end = line[-1:]
-    grams.add(0x51000 + min(9, n.bit_length()))
-    grams.add(0x52000 + (0 if not end or end.isalnum() else ord(end)))
-    grams.add(0x53000 + min(4, x))
-    grams.add(0x54000 + min(12, len(hs)))
-    if hs:
-        grams.update((hs[0] * 7919 + 1, hs[-1] * 7919 + 2, 0x55000 + line.isupper()))
-    return list(grams)
-
-
-def rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids of all lines in a row, and where each line's begin."""
-    return joined([features(s) for s in lines])
-
-
-def joined(feats: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All features in a row, in DIM, and where each line's begin."""
-    sizes = np.fromiter((len(f) for f in feats), np.int64, len(feats))
-    flat = np.fromiter(itertools.chain.from_iterable(feats), np.uint64, int(sizes.sum()))
-    with np.errstate(over="ignore"):
-        flat = (flat * np.uint64(2654435761) >> np.uint64(13)) & np.uint64(DIM - 1)
-    return flat.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, np.int64)
-
-
-def scores(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(lines, classes) log-probabilities."""
-    if not len(starts):
-        return np.zeros((0, weights.shape[1] if weights.ndim > 1 else 1))
-    z = np.add.reduceat(weights[flat], starts, axis=0) + weights[-1]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def softmax_regression(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, classes: int, l2: float = 1e-5, rounds: int = 45) -> np.ndarray:
     """L2-regularised, fitted by full-batch Adam with class-balanced weights. (DIM + 1, classes); the last row is the bias."""
     n = len(y)

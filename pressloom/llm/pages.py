@@ -12,13 +12,13 @@ import pickle
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from pressloom.llm.learn import features, joined, rows, scores, softmax_regression, tokens
+from pressloom.llm.learn import softmax_regression, tokens
+from pressloom.llm.linewise import DIM, Lines, chunks
 
 #: Most items of the training sample.
 SAMPLE = 5000
@@ -38,19 +38,19 @@ PHRASES = re.compile(
     r"(?i)\b(?:page not found|not found on this server|404 not found|40[0-9] (?:error|forbidden)|50[0-9] (?:bad gateway|service|internal|gateway)|http/\d\.\d [45]\d\d"
     r"|internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|temporarily unavailable|try again (?:in|later)|access denied|permission to access"
     r"|request blocked|you have been blocked|too many requests|fatal error|uncaught exception|timeouterror|timed out|connection failed|errno|stack trace|traceback"
-    r"|down for maintenance|be back shortly|session has expired|sitzung ist abgelaufen|session (?:a|est) expiré|sesión ha (?:caducado|expirado)|sessão expirou|no results\. the article|removed or never existed|nothing to see here|something went wrong|can.t find the page|page you are looking for|failed to open stream|couldn.t load|sample post|edit or delete it"
+    r"|down for maintenance|be back shortly|session has expired|sitzung ist abgelaufen|session (?:a|est) expiré|sesión ha (?:caducado|expirado)|sessão expirou|nothing to see here|something went wrong|can.t find the page|page you are looking for|you requested (?:has|was|is|could)|no longer (?:available|exists)|(?:has been|was) (?:removed|deleted) or|failed to open stream|couldn.t load|sample post|edit or delete it"
     r"|enable (?:javascript|scripts|cookies|js)|javascript (?:is )?(?:turned on|required|disabled|to continue)|without scripts enabled|turn on js|requires? (?:a modern browser|javascript)"
     r"|checking your browser|verify you are human|complete the captcha|<title>error"
     r"|page introuvable|n’existe pas|n'existe pas|accès refusé|une erreur est survenue|momentanément indisponible|activer javascript|activez javascript|texte factice|texte provisoire"
-    r"|seite nicht gefunden|existiert nicht|zugriff verweigert|interner serverfehler|ein fehler ist aufgetreten|vorübergehend nicht|aktivieren sie javascript|platzhaltertext|blindtext|hier steht später"
+    r"|seite nicht gefunden|existiert nicht|zugriff verweigert|interner serverfehler|ein fehler ist aufgetreten|vorübergehend nicht|aktivieren sie javascript|platzhaltertext|blindtext"
     r"|página no encontrada|no existe\.|acceso denegado|se ha producido un error|no disponible|active javascript|texto de relleno|texto provisional"
     r"|página não encontrada|não existe\.|acesso negado|ocorreu um erro|indisponível|ative o javascript|texto provisório"
-    r"|lorem|ipsum|asdf|placeholder|body copy goes here|insert lead|do not publish|text text text|\[object object\]|incident \d+-\d+)"
+    r"|lorem|ipsum|asdf|placeholder|\[object object\])"
 )
 BARE = re.compile(r"(?i)^\W*(?:undefined|null|nan|none|todo|tbd|error|test|xxx+|n/?a|\{\"error\".*)\W*$")
 ENDS = re.compile(r"[.!?]\W{0,3}$|[.!?][”\"»“’')\]]?$")
 BULLET = re.compile(r"^\s*(?:[-*•–·‣]|\d+[.)])\s+")
-SPLITS = re.compile(r" [|·/>»•] |\s{2,}")
+SENTENCE = re.compile(r"(?<=[.!?”])\s+")
 TITLE = re.compile(r"[^\W_]+")
 # Words that introduce a list of tags.
 TAGS = re.compile(r"(?i)^\W*(?:tags?|topics?|keywords|etiquetas|temas|palabras clave|mots-clés|sujets|étiquettes|schlagwörter|themen|assuntos|palavras-chave)\s*:")
@@ -88,9 +88,9 @@ def speaks_of(line: str) -> bool:
 def sample(items: DataFrame, bound: int = SAMPLE) -> list[Row]:
     """At most ``bound`` items with text, chosen by the hash of the id."""
     some = items.filter("text is not null and trim(text) <> ''").select("item_id", "source", "title", "text")
-    total = max(1, some.count())
-    part = min(1.0, 0.95 * bound / total)
-    got = some.filter(F.pmod(F.xxhash64("item_id", F.lit("sample")), F.lit(1_000_000)) < int(part * 1_000_000)).limit(bound).collect()
+    part = min(1.0, 0.95 * bound / max(1, some.count()))
+    # a share of all 64-bit hashes: as fine for billions of items as for a few
+    got = some.filter(F.xxhash64("item_id", F.lit("sample")) < int((part - 0.5) * 2**64 * (1 - 2**-40))).limit(bound).collect()
     return sorted(got, key=lambda r: (r.item_id, r.text))
 
 
@@ -126,8 +126,10 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
             many = len(held[r.source or "", f]) >= 3 or len(hosts[f]) >= 3 or ("X" not in m and len(stories[f]) >= 2)
             ends, wordy = bool(ENDS.search(s)), sum(t.islower() and t != "x" for t in tokens(s)) >= 5
             kind = -1
-            if is_phrase(s):
-                kind = RESIDUE if not many or open_slots(s) or PHRASES.search(s) else FURNITURE
+            if open_slots(s):
+                kind = RESIDUE
+            elif is_phrase(s):
+                kind = RESIDUE if not many or PHRASES.search(s) else FURNITURE
             elif w and (w == key or w in titles):
                 kind = HEADLINE
             elif many or " > " in s or " | " in s or TAGS.match(s):
@@ -150,52 +152,42 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
 
 
 def line_model(pages: list) -> np.ndarray:
-    """Weights of the softmax regression over the five kinds."""
+    """Weights of the softmax regression over the five kinds. Residue lines are learnt with and without their phrase."""
     rng = random.Random(7)
     xs, ys, seen = [], [], Counter()
+
+    def add(s: str, kind: int) -> None:
+        s = " ".join(s.split("\n")).strip()
+        if s:
+            xs.append(s)
+            ys.append(kind)
+
     for r, labelled in pages:
         if r.title:
-            xs.append(r.title.strip())
-            ys.append(HEADLINE)
+            add(r.title, HEADLINE)
         for _, s, kind in labelled:
             if kind < 0:
                 continue
             seen[s] += 1
             if seen[s] > 3:
                 continue
-            xs.append(s)
-            ys.append(kind)
+            if kind == RESIDUE and len(s) > 60 and open_slots(s):  # of a long line, the sentences with slots are residue
+                for part in SENTENCE.split(s):
+                    add(part, RESIDUE if open_slots(part) else PROSE)
+                continue
+            add(s, kind)
             if kind == PROSE and rng.random() < 0.3:  # prose that stops somewhere is still prose
-                xs.append(s[: rng.randint(min(25, len(s) - 1), len(s) - 1)])
-                ys.append(PROSE)
-            if kind == RESIDUE and rng.random() < 0.5:
-                xs.append(s.upper())
-                ys.append(RESIDUE)
+                add(s[: rng.randint(min(25, len(s) - 1), len(s) - 1)], PROSE)
+            if kind == RESIDUE:
+                rest = PHRASES.sub(" ", s)
+                if rest != s and len(title_words(rest)) >= 3:
+                    add(rest, RESIDUE)
+                if rng.random() < 0.5:
+                    add(s.upper(), RESIDUE)
     if not xs:
         xs, ys = ["."], [PROSE]
-    flat, starts = rows(xs)
-    return softmax_regression(flat, starts, np.array(ys), KINDS)
-
-
-class Lines:
-    """Log-probabilities of line kinds and the lines' features; kept for short lines, which come again."""
-
-    def __init__(self, weights: np.ndarray, keep: int = 60_000):
-        self.weights, self.keep, self.known = weights, keep, {}
-
-    def __call__(self, lines: list[str]) -> tuple[np.ndarray, list[list[int]]]:
-        known, fresh = self.known, {}
-        new = [s for s in dict.fromkeys(lines) if s not in known]
-        if new:
-            feats = [features(s) for s in new]
-            flat, starts = joined(feats)
-            got = scores(self.weights, flat, starts).astype(np.float32)
-            fresh = dict(zip(new, zip(got, feats, strict=True), strict=True))
-            for s in new:
-                if len(s) < 60 and len(known) < self.keep:
-                    known[s] = fresh[s]
-        both = [known[s] if s in known else fresh[s] for s in lines]
-        return (np.stack([x for x, _ in both]) if both else np.zeros((0, KINDS), np.float32)), [f for _, f in both]
+    lines = Lines(xs)
+    return softmax_regression(lines.flat, lines.starts, np.array(ys), KINDS)
 
 
 # ---- whole pages: residue or not ----------------------------------------------------------------------------------
@@ -203,28 +195,27 @@ class Lines:
 EXTRA = 14
 
 
-def page_numbers(lines: list[str], logp: np.ndarray, title: str | None) -> list[float]:
-    """Length and title features of a page, and what its lines are."""
-    kind = logp.argmax(axis=1) if len(lines) else np.zeros(0, int)
-    p = np.exp(logp)
-    chars = np.array([len(s) for s in lines])
-    slots = sum(open_slots(s) for s in lines)
+def page_numbers(lines: Lines, logp: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(pages, EXTRA) length and title features, what the line model takes a page's lines for, and its strongest few words for
+    residue inside any line. No label rule is among them."""
+    page, m = lines.page, lines.pages
+    kind, residue = logp.argmax(axis=1), np.exp(logp[:, RESIDUE])
+    total = lambda v: np.bincount(page, v, m)
     # a sentence that breaks off can only be the last line; elsewhere a line without an end is no prose
-    last = len(lines) - 1
-    prose = np.array(
-        [k == PROSE and (i == last or bool(ENDS.search(s[-6:]))) and (speaks_of(s) or not is_phrase(s)) for i, (s, k) in enumerate(zip(lines, kind, strict=True))], bool
-    )
-    tw = set(title_words(title))
-    said = " ".join(s for s, k in zip(lines, kind, strict=True) if k == PROSE).lower()
-    shared = sum(w in said for w in tw)
-    residue = p[:, RESIDUE] if lines else np.zeros(0)
-    bare = not prose.any()  # what else the page says counts only where no article stands
-    return [
-        float(slots > 0), min(5, slots) / 5, float(prose.any()), min(10, int(prose.sum())) / 10, float(np.log1p(chars[prose].sum()) / 10),
-        float(bare and (kind == RESIDUE).any()), float(residue.max(initial=0) * bare), float(residue.sum() / max(1, len(lines)) * bare),
-        float(np.log1p(chars.sum()) / 10 * bare), float(len(lines) == 1), float((kind == HEADLINE).any()), min(4, shared) / 4,
-        float(bare and any(is_phrase(s) for s in lines)), float(bare),
-    ]
+    last = np.append(page[1:] != page[:-1], True) if lines.n else np.zeros(0, bool)
+    prose = (kind == PROSE) & ((lines.form[:, 3] > 0) | last)
+    n, n_prose, chars = total(None), total(prose), lines.form[:, 0]
+    most = np.zeros(m)
+    np.maximum.at(most, page, residue)
+    peak = lines.peaks(weights[:-1, RESIDUE] - weights[:-1, PROSE])
+    bare = n_prose == 0  # what else the page says counts most where no article stands
+    return np.stack(
+        [
+            n_prose > 0, np.minimum(10, n_prose) / 10, np.log1p(total(prose * chars)) / 10, most, bare * (total(kind == RESIDUE) > 0), bare * most,
+            bare * total(residue) / np.maximum(n, 1), bare * np.log1p(total(chars)) / 10, n == 1, total(kind == HEADLINE) > 0,
+            np.minimum(1, total(prose * lines.form[:, 8])), bare, np.clip(peak / 10, -2, 5), np.clip(peak / 10, -2, 5) * bare,
+        ], axis=1,
+    ).astype(float)
 
 
 def page_label(labelled: list[tuple[int, str, int]]) -> int | None:
@@ -237,92 +228,75 @@ def page_label(labelled: list[tuple[int, str, int]]) -> int | None:
     return 1 if any(k == RESIDUE for *_, k in labelled) else None
 
 
-def page_features(feats: list[list[int]], logp: np.ndarray) -> list[int]:
-    """n-grams of the lines that are neither furniture nor headline: of what stands in the article's place."""
-    kind = logp.argmax(axis=1) if len(feats) else []
-    return list({i for f, k in zip(feats, kind, strict=True) if k in (PROSE, RESIDUE, SUBHEAD) for i in f})
+def page_grams(lines: Lines, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(page, n-gram) of the lines that are neither furniture nor headline, each once: of what stands in the article's place."""
+    kind = logp.argmax(axis=1)
+    own = np.isin(kind, (PROSE, RESIDUE, SUBHEAD))[lines.of] if lines.n else np.zeros(0, bool)
+    key = np.unique((lines.page[lines.of[own]] << 16) | lines.flat[own])
+    return key >> 16, key & 0xFFFF
 
 
 class PageModel:
-    """Linear classifier of pages over hashed n-grams of what stands in the article's place, length and title features."""
-
-    #: Length and title features count so many times: n-grams only tip what they leave open.
-    SCALE = 3.0
-
-    def fit(self, pages: list, lines: Lines) -> PageModel:
-        xs, extra, ys = [], [], []
-        for r, labelled in pages:
-            y = page_label(labelled)
-            if y is None:
-                continue
-            ls = [s for _, s, _ in labelled]
-            lp, feats = lines(ls)
-            xs.append(page_features(feats, lp))
-            extra.append(page_numbers(ls, lp, r.title))
-            ys.append(y)
-        self.w = self._train(xs, self.SCALE * np.array(extra).reshape(-1, EXTRA), np.array(ys, int))
+    """L2-regularised linear classifier of pages over hashed n-grams of what stands in the article's place, length and
+    title features, all on one scale."""
+
+    def fit(self, pages: list, weights: np.ndarray) -> PageModel:
+        known = [(labelled, r.title, y) for r, labelled in pages if (y := page_label(labelled)) is not None]
+        lines = Lines(["\n".join(s for _, s, _ in labelled) for labelled, *_ in known], [t for _, t, _ in known])
+        logp = lines.logp(weights)
+        self._train(*page_grams(lines, logp), page_numbers(lines, logp, weights), np.array([y for *_, y in known], int))
         return self
 
-    def _train(self, feats: list[list[int]], extra: np.ndarray, y: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
-        if not len(y) or y.min() == y.max():
-            return np.zeros(0), np.array([6.0, 0, -6.0, 0, 0, 6.0] + [0.0] * (EXTRA - 6)), 0.0
-        flat, sizes = joined(feats)[0], np.array([len(f) for f in feats])
-        each = np.repeat(np.arange(len(y)), sizes)
-        used = np.unique(flat)
-        where = np.searchsorted(used, flat)
-        scale = 1 / np.sqrt(np.maximum(sizes, 1))
+    def _train(self, each: np.ndarray, grams: np.ndarray, extra: np.ndarray, y: np.ndarray, rounds: int = 150) -> None:
+        n = len(y)
+        if not n or y.min() == y.max():  # one class only: what the line model says decides
+            self.w, self.v, self.b = np.zeros(DIM), np.zeros(EXTRA), -3.0
+            self.mean, self.std = np.zeros(EXTRA), np.ones(EXTRA)
+            self.v[[0, 5]] = -2.0, 6.0
+            return
+        self.mean, self.std = extra.mean(axis=0), extra.std(axis=0) + 1e-3
+        x = (extra - self.mean) / self.std
+        used, where = np.unique(grams, return_inverse=True)
+        scale = 1 / np.sqrt(np.maximum(np.bincount(each, minlength=n), 1))
         u, v, b = np.zeros(len(used)), np.zeros(EXTRA), 0.0
         m = s = np.zeros(len(used) + EXTRA + 1)
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
         for t in range(1, rounds + 1):
-            z = np.bincount(each, u[where], len(y)) * scale + extra @ v + b
+            z = np.bincount(each, u[where], n) * scale + x @ v + b
             r = (1 / (1 + np.exp(-z)) - y) * weight
-            g = np.r_[np.bincount(where, (r * scale)[each], len(used)) + 1e-3 * u, extra.T @ r + 1e-5 * v, r.sum()]
+            g = np.r_[np.bincount(where, (r * scale)[each], len(used)) + 1e-5 * u, x.T @ r + 1e-3 * v, r.sum()]
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
             u, v, b = u - step[: len(used)], v - step[len(used) : -1], b - step[-1]
-        w = np.zeros(1 << 16)
-        w[used] = u
-        return w, v, float(b)
-
-    def logit(self, feats: list[list[int]], extra: np.ndarray) -> np.ndarray:
-        w, v, b = self.w
-        z = self.SCALE * extra @ v + b
-        if len(w) and feats:
-            flat, sizes = joined(feats)[0], np.array([len(f) for f in feats])
-            each = np.repeat(np.arange(len(feats)), sizes)
-            z = z + np.bincount(each, w[flat], len(feats)) / np.sqrt(np.maximum(sizes, 1))
-        return z
-
-
-def split_lines(text: str | None) -> list[tuple[int, str]]:
-    return [(n, s.strip()) for n, s in enumerate((text or "").split("\n"), 1) if s.strip()]
-
-
-def residue_pages(texts: list[str | None], titles: list[str | None], lines: Lines, model: PageModel) -> np.ndarray:
-    """True for each text that holds residue in the place of an article, or an article with unfilled slots."""
-    split = [[s for _, s in split_lines(t)] for t in texts]
-    logp, feats = lines([s for ls in split for s in ls])
-    at = np.cumsum([0] + [len(ls) for ls in split])
-    body, extra, has = [], [], []
-    for i, ls in enumerate(split):
-        lp = logp[at[i] : at[i + 1]]
-        has.append(bool(ls))
-        body.append(page_features(feats[at[i] : at[i + 1]], lp))
-        extra.append(page_numbers(ls, lp, titles[i]))
-    z = model.logit(body, np.array(extra).reshape(-1, EXTRA))
-    return (z > 0) & np.array(has, bool)
+        self.w = np.zeros(DIM)
+        self.w[used] = u
+        self.v, self.b = v, float(b)
+
+    def logit(self, lines: Lines, logp: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        each, grams = page_grams(lines, logp)
+        z = np.bincount(each, self.w[grams], lines.pages) / np.sqrt(np.maximum(np.bincount(each, minlength=lines.pages), 1))
+        return z + (page_numbers(lines, logp, weights) - self.mean) / self.std @ self.v + self.b
+
+    def residue(self, lines: Lines, logp: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """True for each page that holds residue in the place of an article, or an article with unfilled slots."""
+        return (self.logit(lines, logp, weights) > 0) & (np.bincount(lines.page, minlength=lines.pages) > 0)
+
+
+def residue_pages(texts: list[str | None], titles: list[str | None], weights: np.ndarray, model: PageModel) -> np.ndarray:
+    out = np.zeros(len(texts), bool)
+    for lo, hi in chunks(texts):
+        lines = Lines(texts[lo:hi], titles[lo:hi])
+        out[lo:hi] = model.residue(lines, lines.logp(weights), weights)
+    return out
 
 
 def train_pages(items: DataFrame, bound: int = SAMPLE) -> tuple[list, np.ndarray, PageModel]:
     """The labelled sample, the line model's weights and the page model."""
     pages = weak_labels(sample(items, bound))
-    weights = line_model(pages)
-    return pages, weights, PageModel().fit(pages, Lines(weights))
+    weights = line_model(pages).astype(np.float32)
+    return pages, weights, PageModel().fit(pages, weights)
 
 
 @functools.lru_cache(2)
 def load(data: bytes):
     return pickle.loads(data)
-
-
