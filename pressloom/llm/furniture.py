@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm.learn import Boosted
-from pressloom.llm.linewise import Lines, chunks, mixed
+from pressloom.llm.linewise import Lines, in_chunks, mixed
 from pressloom.llm.pages import FURNITURE, HEADLINE, KINDS, PROSE, RESIDUE, SAMPLE, SUBHEAD, load, title_words, train_pages
 from pressloom.runtime import cut, salted_join, table
 
@@ -46,8 +46,7 @@ def page_rows(items: DataFrame, weights: np.ndarray, page_model) -> DataFrame:
         weights, page_model = load(data.value)
         for b in batches:
             texts, titles = b.column("text").to_pylist(), b.column("title").to_pylist()
-            for lo, hi in chunks(texts):
-                lines = Lines(texts[lo:hi], titles[lo:hi])
+            for lo, hi, lines in in_chunks(texts, titles):
                 logp = lines.logp(weights)
                 own = b.column("s").slice(lo, hi - lo).to_numpy()
                 offsets = pa.array(np.searchsorted(lines.page, np.arange(lines.pages + 1)), pa.int32())
@@ -175,10 +174,14 @@ def decode(logit: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 def train_nodes(sampled: list, weights: np.ndarray, known: dict[int, tuple[float, float]], source_hash: dict[str, int]) -> Boosted:
     """``known``: number of titles and total of the sampled lines that are repeated."""
-    lines = Lines(["\n".join(s for _, s, _ in labelled) for _, labelled in sampled], [r.title for r, _ in sampled])
-    logp = lines.logp(weights)
-    got = np.array([known.get(k, (0.0, 1.0)) for k in sample_keys(lines, sampled, source_hash).tolist()], np.float32).reshape(-1, 2)
-    x, _ = nodes(lines.page, lines.pages, logp, lines.form, got[:, 0], got[:, 1])
+    x, logp = [], []
+    for lo, hi, lines in in_chunks(["\n".join(s for _, s, _ in labelled) for _, labelled in sampled], [r.title for r, _ in sampled]):
+        logp.append(lines.logp(weights))
+        got = np.array([known.get(k, (0.0, 1.0)) for k in sample_keys(lines, sampled[lo:hi], source_hash).tolist()], np.float32).reshape(-1, 2)
+        x.append(nodes(lines.page, lines.pages, logp[-1], lines.form, got[:, 0], got[:, 1])[0])
+    if not x:
+        return Boosted(trees=0).fit(np.zeros((2, KINDS + Lines.FORM + 28)), np.array([0.0, 1.0]))
+    x, logp = np.concatenate(x), np.concatenate(logp)
     y, i = [], 0
     for r, labelled in sampled:
         y += node_labels(labelled, logp[i : i + len(labelled)], r.title)
@@ -204,8 +207,10 @@ def furniture(items: DataFrame, bound: int = SAMPLE) -> DataFrame:
     names = sorted({r.source or "" for r, _ in sampled})
     hashes = spark.createDataFrame([(s,) for s in names], "source string").select("source", F.xxhash64("source").alias("s")).collect() if names else []
     source_hash = {r.source: r.s for r in hashes}
-    own = Lines(["\n".join(s for _, s, _ in labelled) for _, labelled in sampled])
-    keys = spark.createDataFrame([(k,) for k in set(sample_keys(own, sampled, source_hash).tolist())], "h long") if sampled else None
+    wanted: set[int] = set()
+    for lo, hi, lines in in_chunks(["\n".join(s for _, s, _ in labelled) for _, labelled in sampled]):
+        wanted.update(sample_keys(lines, sampled[lo:hi], source_hash).tolist())
+    keys = spark.createDataFrame([(k,) for k in wanted], "h long") if wanted else None
     known = {r.h: (r.n, r.total) for r in repeated.join(keys, "h", "left_semi").collect()} if keys is not None else {}
     trees = train_nodes(sampled, weights, known, source_hash)
     data = spark.sparkContext.broadcast(pickle.dumps(trees))

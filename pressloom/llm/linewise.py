@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Hash space of n-gram features, and code points of a chunk.
-DIM, CHUNK = 1 << 16, 1_500_000
+DIM, CHUNK = 1 << 16, 1_000_000
 #: No letter or digit stands above this code point.
 TOP = 0x33000
 SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -303,3 +303,9 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         size += n + 1
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def in_chunks(texts: list[str | None], titles: list[str | None] | None = None) -> Iterator[tuple[int, int, Lines]]:
+    """(from, to, lines) of each chunk: what is kept of it must be small."""
+    for lo, hi in chunks(texts):
+        yield lo, hi, Lines(texts[lo:hi], titles[lo:hi] if titles is not None else None)

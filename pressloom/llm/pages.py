@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pressloom.llm.learn import softmax_regression, tokens
-from pressloom.llm.linewise import DIM, Lines, chunks
+from pressloom.llm.linewise import DIM, Lines, in_chunks
 
 #: Most items of the training sample.
 SAMPLE = 5000
@@ -186,8 +186,12 @@ def line_model(pages: list) -> np.ndarray:
                     add(s.upper(), RESIDUE)
     if not xs:
         xs, ys = ["."], [PROSE]
-    lines = Lines(xs)
-    return softmax_regression(lines.flat, lines.starts, np.array(ys), KINDS)
+    flat, starts, n = [], [], 0
+    for _, _, lines in in_chunks(xs):
+        flat.append(lines.flat.astype(np.int32))
+        starts.append(lines.starts + n)
+        n += len(lines.flat)
+    return softmax_regression(np.concatenate(flat), np.concatenate(starts), np.array(ys), KINDS)
 
 
 # ---- whole pages: residue or not ----------------------------------------------------------------------------------
@@ -242,9 +246,14 @@ class PageModel:
 
     def fit(self, pages: list, weights: np.ndarray) -> PageModel:
         known = [(labelled, r.title, y) for r, labelled in pages if (y := page_label(labelled)) is not None]
-        lines = Lines(["\n".join(s for _, s, _ in labelled) for labelled, *_ in known], [t for _, t, _ in known])
-        logp = lines.logp(weights)
-        self._train(*page_grams(lines, logp), page_numbers(lines, logp, weights), np.array([y for *_, y in known], int))
+        each, grams, extra = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, EXTRA))]
+        for lo, _, lines in in_chunks(["\n".join(s for _, s, _ in labelled) for labelled, *_ in known], [t for _, t, _ in known]):
+            logp = lines.logp(weights)
+            pages_, got = page_grams(lines, logp)
+            each.append(pages_ + lo)
+            grams.append(got)
+            extra.append(page_numbers(lines, logp, weights))
+        self._train(np.concatenate(each), np.concatenate(grams), np.concatenate(extra), np.array([y for *_, y in known], int))
         return self
 
     def _train(self, each: np.ndarray, grams: np.ndarray, extra: np.ndarray, y: np.ndarray, rounds: int = 150) -> None:
@@ -284,8 +293,7 @@ class PageModel:
 
 def residue_pages(texts: list[str | None], titles: list[str | None], weights: np.ndarray, model: PageModel) -> np.ndarray:
     out = np.zeros(len(texts), bool)
-    for lo, hi in chunks(texts):
-        lines = Lines(texts[lo:hi], titles[lo:hi])
+    for lo, hi, lines in in_chunks(texts, titles):
         out[lo:hi] = model.residue(lines, lines.logp(weights), weights)
     return out
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressloom.llm.linewise import Lines, chunks
+from pressloom.llm.linewise import chunks, in_chunks
 from pressloom.llm.pages import FURNITURE, HEADLINE, PROSE, SAMPLE, SUBHEAD, load, residue_pages, title_words, train_pages
 from pressloom.runtime import cut, salted_join, table
 
@@ -131,7 +131,7 @@ def ending_odds(values: list[str], titles: list[str | None], page: bool, weights
     out: list[float | None] = [None] * len(values)
     if not open_:
         return out
-    logp = Lines([bare[i] for i in open_]).logp(weights)
+    logp = np.concatenate([lines.logp(weights) for _, _, lines in in_chunks([bare[i] for i in open_])])
     odds = np.array([base[i] for i in open_]) + logp[:, PROSE] - logp[:, [HEADLINE, FURNITURE, SUBHEAD]].max(axis=1)
     if page:
         hopeful = np.flatnonzero(odds > -MOST)  # no limit could convict the others
