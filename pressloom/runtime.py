@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,27 +23,33 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``).
-
-    A temporary folder of this machine is taken only where the setting is absent and the master is local.
-    """
+    """This application's folder in the folder that all executors share (``spark.checkpoint.dir``, which must be set)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = os.environ.get("PRESSLOOM_SHARED") or tempfile.mkdtemp(prefix="pressloom-")
-        os.environ["PRESSLOOM_SHARED"] = at
-    return at.rstrip("/")
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{at.rstrip('/')}/pressloom-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; ``release`` deletes it with all others of the application."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Results that are still to be read must be written first."""
+    remove(spark, shared_dir(spark))
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors, prunes columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    w = df.write.option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    path = scratch(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +65,29 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str
     return a.join(b, [*on, "__salt"], how).drop("__salt")
 
 
+#: Rows of one key that a task may hold without being called hot.
+HUB = 100_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hub: int = HUB) -> DataFrame:
+    """``left`` (a written table) joined with ``right`` (at most one row a key; null keys find nothing), hot keys apart.
+
+    Keys with more than ``hub`` rows and a thousandth of all rows are hot: there are fewer than 1000 of them, so their right
+    rows are broadcast, and their left rows are spread by their own hash instead of meeting in one task."""
+    total = left.count()
+    if total <= hub:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(hub, total // 1000)).select(key)
+    value = F.struct(*[c for c in right.columns if c != key])
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi").select(key, value.alias("__hot")))
+    spread = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*left.columns))
+    rest = right.select(F.col(key).alias("__k"), value.alias("__cold"))
+    got = left.join(few, key, "left").withColumn("__k", spread).join(rest, "__k", "left").withColumn("__v", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        got = got.filter("__v is not null")
+    return got.select(*left.columns, "__v.*")
+
+
 def extended(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with further nullable columns (name=type)."""
     out = StructType(list(df.schema.fields))
