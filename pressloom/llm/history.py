@@ -1,38 +1,48 @@
 """Deduplicating new batches against all history (problem 4).
 
 Method: every row gives exact hashes of its normalised content - folded key, page address, title - and *paragraph*
-hashes, which for a ledger of titles are hashes of the title's parts: its names and numbers (the signature), and, for
-titles that share a signature, the title without each choice of up to MAY_DIFFER ordinary words. Rows that share a
-hash tell the same story, directly or through others. The hashes live in tables bucketed by hash: a batch is
-semi-joined bucket by bucket with the hashes of history (8-byte hashes and ids; no text of history is read but for
-titles of a matching signature), and its own hashes are appended.
+hashes, which for a ledger of titles are hashes of the title without each choice of up to MAY_DIFFER ordinary words
+(rolling polynomial hashes: each costs a few multiplications, however long the title). Rows that share a hash tell the
+same story, directly or through others. The hashes live in a Spark table bucketed by hash: a batch's hashes are joined
+with it bucket by bucket (history is read in its buckets and never shuffled; no text of it is read), and then appended.
+
+* Stories that a batch joins go into a table of roots (story -> root), through which later finds are resolved.
+* Which words are ordinary is counted, and the counts grow. Where a batch makes a word ordinary, the old titles with that
+  word are hashed again (and no others), so that no link is lost. A link once made stays.
 
 Defined results:
 * the batch of a row is the ISO week of first_seen; where that is null or no date, the week column, however written;
   rows without either count as the last week
 * ordinary words are those that titles in sentence case write mostly in lower case; names and numbers never differ
 * an added source name (before or after a separator) is no part of the title
+* titles of one or two words must agree in all their letters and digits; at least three words must be left in common
 * blank keys, urls and titles link nothing; repeated rows (one seen_id) are one row; late rows take their week's place
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.llm.linewise import BASE, INVERSE, mixed
 from pressloom.operators.graph import components
-from pressloom.runtime import cut, shared_dir, small_side, table
-
-#: Ordinary words in which two titles of one story may differ; buckets of the hash tables.
-MAY_DIFFER, BUCKETS = 2, 64
-#: Ordinary words that go to every task, and titles of one signature that one task compares.
-VOCABULARY, FEW = 50_000, 64
+from pressloom.runtime import cut, remove, salted_join, scratch, small_side, table
+
+#: Ordinary words in which two titles of one story may differ; buckets of the tables (more for more data).
+MAY_DIFFER, BUCKETS = 2, 16
+#: Ordinary words that go to every task; beyond that they are joined.
+VOCABULARY = 50_000
+#: Weeks that p4_found takes as one batch.
+WEEKS = 26
+#: Rows of variants of one Arrow batch.
+SLICE = 100_000
 # Address parameters that choose a view or track a visit, and path pieces and hosts of views and mirrors.
 VIEW_PARAMS = (
     "utm_[a-z_]+|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid|igshid|ref|ref_src|referrer|share|output|view|via|cmpid|amp|print|"
@@ -103,13 +113,13 @@ def bare_titles(rows: DataFrame, sources: DataFrame) -> DataFrame:
 WORDS = r"([\p{L}\p{N}]+)"
 
 
-def word_counts(titles: DataFrame) -> DataFrame:
-    """word, low, all: occurrences after the first word of titles in sentence case, in lower case and in any."""
+def word_counts(bare: DataFrame) -> DataFrame:
+    """word, low, all: occurrences after the first word of the different titles (bare) in sentence case, in lower case and in any."""
     ws = F.regexp_extract_all("bare", F.lit(WORDS), 1)
-    rest = F.slice(ws, 2, 10_000)
+    rest = F.slice(ws, F.lit(2), F.size(ws))
     capital = F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Lu}")))
     lower = F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Ll}")))
-    some = titles.select("bare").distinct().filter((capital > 0) & (lower * 10 >= capital * 4))
+    some = bare.select("bare").distinct().filter((capital > 0) & (lower * 10 >= capital * 4))
     return (
         some.select(F.explode(rest).alias("w"))
         .groupBy(F.lower("w").alias("word"))
@@ -117,14 +127,61 @@ def word_counts(titles: DataFrame) -> DataFrame:
     )
 
 
-def title_parts(titles: DataFrame, counts: DataFrame) -> DataFrame:
-    """t, sig, tokens: of each folded title its words in order, marked as ordinary or not, and the signature's hash.
+def is_ordinary(low: Column, total: Column) -> Column:
+    return F.coalesce(low * 2 > total, F.lit(False))
 
-    A vocabulary of at most VOCABULARY ordinary words (counted) goes to the tasks; a larger one is joined word by word.
-    """
-    ordinary = cut(counts.filter("low * 2 > all").select("word"))
-    ws = F.regexp_extract_all(F.lower("bare"), F.lit(WORDS), 1)
-    one = titles.groupBy("t").agg(F.min(F.struct(ws.alias("ws")))["ws"].alias("ws"))
+
+@functools.lru_cache(200_000)
+def word_hash(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w)
+
+
+def variant_hashes(ws: list[str], free: list[int]) -> Iterator[np.ndarray]:
+    """Hashes of the words without each choice of up to MAY_DIFFER of those at ``free``, as long as three words and more than
+    were taken out are left: a polynomial over the words, of which parts shift down by one or two places."""
+    n = len(ws)
+    if n < 3:
+        return
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, np.uint64(BASE))])
+        a = np.r_[np.uint64(0), np.cumsum(np.array([word_hash(w) for w in ws], np.uint64) * up)]
+        one, two, total = np.uint64(INVERSE), np.uint64(INVERSE * INVERSE % 2**64), a[n]
+        yield mixed(np.array([total]), n)
+        f = np.array(free, np.int64)
+        if n >= 4 and len(f):
+            yield mixed(a[f] + (total - a[f + 1]) * one, n - 1)
+        if n >= 5:
+            for k in range(len(f) - 1):
+                i, j = f[k], f[k + 1 :]
+                yield mixed(a[i] + (a[j] - a[i + 1]) * one + (total - a[j + 1]) * two, n - 2)
+
+
+def variants(titles: DataFrame) -> DataFrame:
+    """node, h of titles (node, ws, free: positions of ordinary words). A long title's hashes are handed on in slices."""
+
+    def batch(nodes: list, hashes: list) -> pa.RecordBatch:
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        ids = np.repeat(np.array(nodes, np.int64), [len(x) for x in hashes])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64))], names=["node", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, hashes, size = [], [], 0
+        for b in batches:
+            for node, ws, free in zip(*(b.column(k).to_pylist() for k in ("node", "ws", "free")), strict=True):
+                for h in variant_hashes(ws, free):
+                    nodes.append(node)
+                    hashes.append(h)
+                    size += len(h)
+                    if size >= SLICE:
+                        yield batch(nodes, hashes)
+                        nodes, hashes, size = [], [], 0
+        yield batch(nodes, hashes)
+
+    return titles.select("node", "ws", "free").mapInArrow(run, "node long, h long")
+
+
+def marked(titles: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """node, ws, free of titles (node, ws). ``ordinary``: word. At most VOCABULARY words (counted) go to the tasks, more are joined."""
     known = ordinary.limit(VOCABULARY + 1).collect()
     if len(known) <= VOCABULARY:
         words = titles.sparkSession.sparkContext.broadcast(frozenset(r.word for r in known))
@@ -132,117 +189,31 @@ def title_parts(titles: DataFrame, counts: DataFrame) -> DataFrame:
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             free = words.value
             for b in batches:
-                flags = [[w in free for w in ws or ()] for ws in b.column("ws").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("t"), b.column("ws"), pa.array(flags, pa.list_(pa.bool_()))], names=["t", "ws", "free"])
-
-        marked = one.mapInArrow(mark, "t long, ws array<string>, free array<boolean>")
-        tokens = F.arrays_zip(F.col("ws").alias("word"), F.col("free").alias("ordinary"))
-        parts = marked.filter(F.size("ws") > 0).select("t", tokens.alias("tokens"))
-    else:
-        each = one.select("t", F.posexplode("ws").alias("pos", "word")).join(ordinary.withColumn("ordinary", F.lit(True)), "word", "left")
-        seq = F.array_sort(F.collect_list(F.struct("pos", "word", F.coalesce("ordinary", F.lit(False)).alias("ordinary"))))
-        parts = each.groupBy("t").agg(seq.alias("seq")).select("t", F.transform("seq", lambda x: F.struct(x["word"].alias("word"), x["ordinary"].alias("ordinary"))).alias("tokens"))
-    names = F.transform(F.filter("tokens", lambda x: ~x["ordinary"]), lambda x: x["word"])
-    return parts.select("t", F.xxhash64(F.lit("s"), F.array_join(names, " ")).alias("sig"), "tokens")
-
-
-def without(tokens: list[dict]) -> Iterator[str]:
-    """The title without each choice of up to MAY_DIFFER ordinary words, as long as more than that is left of it."""
-    ws = [x["word"] for x in tokens]
-    free = [i for i, x in enumerate(tokens) if x["ordinary"]]
-    for k in range(MAY_DIFFER + 1):
-        if len(ws) - k <= max(2, k):
-            break
-        for gone in combinations(free, k):
-            yield " ".join(w for i, w in enumerate(ws) if i not in gone)
-
-
-def variants(parts: DataFrame) -> DataFrame:
-    """t, h: hashes of each title without each choice of up to MAY_DIFFER of its ordinary words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ts, hs = [], []
-            for t, tokens in zip(b.column("t").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                for rest in without(tokens):
-                    ts.append(t)
-                    hs.append(xxhash.xxh3_64_intdigest(rest) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(hs, pa.int64())], names=["t", "h"])
+                at = [[i for i, w in enumerate(ws or ()) if w in free] for ws in b.column("ws").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("ws"), pa.array(at, pa.list_(pa.int32()))], names=["node", "ws", "free"])
 
-    return parts.select("t", "tokens").mapInArrow(run, "t long, h long")
+        return titles.select("node", "ws").mapInArrow(mark, "node long, ws array<string>, free array<int>")
+    each = titles.select("node", F.posexplode("ws").alias("pos", "word")).join(ordinary, "word", "left_semi")
+    places = each.groupBy("node").agg(F.array_sort(F.collect_list("pos")).alias("free"))
+    return titles.select("node", "ws").join(places, "node", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
 
 
 def prepared(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """seen_id, week_no, bare, k, u, t: one line per row with its exact hashes (null: nothing to compare)."""
-    d = bare_titles(rows, sources)
+    """node, seen_id, week_no, bare, ws, k, u, t: one line per row with its exact hashes (null: nothing to compare)."""
     h = lambda kind, c: F.when(c != "", F.xxhash64(F.lit(kind), c))
-    return d.select(
-        "seen_id",
-        iso_week(F.col("first_seen"), F.col("week")).alias("week_no"),
-        "bare",
-        h("k", fold(F.col("key"))).alias("k"),
-        h("u", page_address(F.col("url"))).alias("u"),
-        h("t", fold(F.col("bare"))).alias("t"),
-    )
-
-
-def title_links(parts: DataFrame) -> DataFrame:
-    """a, b: title hashes that share a variant, as a star around each variant's first title.
-
-    Titles of a signature with at most FEW different titles meet in one task, which keeps their variants to itself;
-    the variants of larger signatures are shuffled by hash, so that no task sees such a group. Both give the same links.
-    """
-    sizes = parts.groupBy("sig").agg(F.countDistinct("t").alias("n")).filter("n > 1")
-    shared = cut(parts.join(sizes, "sig").select("sig", "n", "t", "tokens"))
-    groups = shared.filter(F.col("n") <= FEW).groupBy("sig").agg(F.collect_list(F.struct("t", "tokens")).alias("titles"))
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            links = set()
-            for titles in b.column("titles").to_pylist():
-                first: dict[str, int] = {}
-                for x in sorted(titles, key=lambda x: x["t"]):
-                    for rest in without(x["tokens"]):
-                        a = first.setdefault(rest, x["t"])
-                        if a != x["t"]:
-                            links.add((a, x["t"]))
-            one, two = zip(*links, strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
-
-    near = groups.mapInArrow(within, "a long, b long")
-    vs = cut(variants(shared.filter(F.col("n") > FEW)))
-    stars = vs.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("hi")).filter("a < hi").select("h", "a")
-    return near.unionByName(vs.join(stars, "h").filter("a <> t").select("a", F.col("t").alias("b"))).distinct()
-
-
-def _row_edges(p: DataFrame) -> DataFrame:
-    """a, b: rows and the hashes that at least two rows share."""
-    node = F.xxhash64(F.lit("r"), "seen_id")
-    hashes = p.select(node.alias("a"), F.explode(F.array("k", "u", "t")).alias("b")).filter("b is not null").distinct()
-    return hashes
-
-
-def stories(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """seen_id, week_no, story, of all rows taken as one batch against an empty history; story is a component's id."""
-    p = cut(prepared(rows, sources))
-    titled = p.filter("t is not null").select("t", "bare")
-    parts = cut(title_parts(titled, word_counts(titled)))
-    edges = _row_edges(p).unionByName(title_links(parts))
-    found = components(edges)
-    node = F.xxhash64(F.lit("r"), "seen_id")
-    return p.withColumn("node", node).join(found, "node", "left").select(
-        "seen_id", "week_no", F.coalesce("component", "node").alias("story")
-    )
+    return bare_titles(rows, sources).select(
+        F.xxhash64(F.lit("r"), "seen_id").alias("node"), F.col("seen_id").cast("long").alias("seen_id"), iso_week(F.col("first_seen"), F.col("week")).alias("week_no"),
+        "bare", F.regexp_extract_all(F.lower("bare"), F.lit(WORDS), 1).alias("ws"),
+        h("k", fold(F.col("key"))).alias("k"), h("u", page_address(F.col("url"))).alias("u"), h("t", fold(F.col("bare"))).alias("t"),
+    )
 
 
 def pairs(told: DataFrame) -> DataFrame:
-    """seen_id_a, seen_id_b: each story's first row with each row of a later week."""
+    """seen_id_a, seen_id_b of rows (seen_id, week_no, story): each story's first row with each row of a later week."""
     firsts = told.groupBy("story").agg(
         F.min(F.struct("week_no", "seen_id")).alias("first"), F.max("week_no").alias("last")
-    ).filter("first.week_no < last")
-    # firsts of a hot story are repeated over the salts that its rows are spread over
-    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    got = told.withColumn("salt", F.pmod(F.xxhash64("seen_id"), F.lit(8)).cast("int")).join(salted, ["story", "salt"])
+    ).filter("first.week_no < last").select("story", "first")
+    got = salted_join(told, firsts, ["story"], "seen_id")
     return (
         got.filter("week_no > first.week_no and seen_id <> first.seen_id")
         .select(F.least("seen_id", "first.seen_id").alias("seen_id_a"), F.greatest("seen_id", "first.seen_id").alias("seen_id_b"))
@@ -250,93 +221,181 @@ def pairs(told: DataFrame) -> DataFrame:
     )
 
 
-# ---- batch by batch -----------------------------------------------------------------------------------------------
-
-
 class History:
-    """The accepted rows as tables of hashes under ``path``, bucketed by hash.
+    """The accepted rows as Spark tables bucketed by their key, under ``path``; a batch appends and rewrites nothing.
 
-    hashes(bucket, h, story, week_no, seen_id): exact hashes; titles(bucket, sig, t, bare, ...): titles by signature;
-    words: counts that tell ordinary words. A batch appends; nothing is rewritten.
+    hashes(h, story); roots(story, root): stories that later batches joined to others; firsts(story, week_no, seen_id): least
+    counts; titles(t, ws, story); words(word, low, all): counts that tell ordinary words. An existing ``path`` is opened.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.empty = True
+    TABLES = {
+        "hashes": ("h", "h long, story long"), "roots": ("story", "story long, root long"), "firsts": ("story", "story long, week_no int, seen_id long"),
+        "titles": ("t", "t long, ws array<string>, story long"), "words": ("word", "word string, low long, total long"),
+    }
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.buckets = spark, buckets
+        self.path = path or scratch(spark, "history")
+        self.name = f"history_{uuid.uuid4().hex}"
+        for t, (key, schema) in self.TABLES.items():
+            spark.sql(f"CREATE TABLE {self.name}_{t} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{t}'")
+        self.empty = path is None or self._read("hashes").isEmpty()
+        self.merged = path is not None and not self._read("roots").isEmpty()
 
-    def add(self, batch: DataFrame, sources: DataFrame) -> DataFrame:
-        """Check ``batch`` against history, append its hashes, and return (seen_id, week_no, story, first_week, first_id):
-        of each row of the batch its story and that story's first row, history included."""
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{name}")
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        key, schema = self.TABLES[name]
+        rows.select(*(c.split()[0] for c in schema.split(", "))).repartition(self.buckets, key).write.insertInto(f"{self.name}_{name}")
+
+    def close(self, delete: bool = False) -> None:
+        for t in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
+        if delete:
+            remove(self.spark, self.path)
+
+    def learn(self, rows: DataFrame, sources: DataFrame) -> None:
+        """Count the words of further titles beforehand (rows to be added with ``counted`` true)."""
+        self._append("words", word_counts(bare_titles(rows, sources).filter("bare is not null")).withColumnRenamed("all", "total"))
+
+    def resolve(self, stories: DataFrame) -> DataFrame:
+        """story, root of distinct stories, through all roots."""
+        got = stories.select("story", F.col("story").alias("root"))
+        while self.merged:
+            step = self._read("roots").groupBy("story").agg(F.min("root").alias("next")).withColumnRenamed("story", "root")
+            got = cut(got.join(step, "root", "left").select("story", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            again = not got.filter("moved").isEmpty()
+            got = got.select("story", "root")
+            if not again:
+                break
+        return got
+
+    def _ordinary(self, words: DataFrame, fresh: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The ordinary ones of ``words``; and those that ``fresh`` counts make so though history knew them otherwise."""
+        old = self._read("words").join(words, "word", "left_semi")
+        old = old.groupBy("word").agg(F.sum("low").alias("low"), F.sum("total").alias("total"))
+        if fresh is None:
+            return old.filter(is_ordinary(F.col("low"), F.col("total"))).select("word"), None
+        new = words.join(fresh.select("word", F.col("low").alias("low_new"), F.col("all").alias("total_new")), "word", "left").join(old, "word", "left")
+        n = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        now = is_ordinary(n("low_new", "low"), n("total_new", "total"))
+        state = cut(new.select("word", now.alias("now"), is_ordinary(F.col("low"), F.col("total")).alias("before")))
+        return state.filter("now").select("word"), state.filter("now and not before").select("word")
+
+    def _hashed_again(self, changed: DataFrame) -> DataFrame | None:
+        """node (the story), h of old titles that hold a word that has turned ordinary."""
+        if self.empty or changed.isEmpty():
+            return None
+        holds = self._read("titles").select("t", F.explode("ws").alias("word")).join(changed, "word", "left_semi").select("t").distinct()
+        titles = cut(self._read("titles").join(holds, "t", "left_semi").groupBy("t").agg(F.min(F.struct("ws", "story")).alias("x")).select("x.ws", F.col("x.story").alias("node")))
+        ordinary, _ = self._ordinary(titles.select(F.explode("ws").alias("word")).distinct(), None)
+        return variants(marked(titles, ordinary.unionByName(changed).distinct()))
+
+    def add(self, batch: DataFrame, sources: DataFrame, counted: bool = False) -> DataFrame:
+        """Check ``batch`` (seen_id, key, url, title, first_seen, week) against history, append it, and return (seen_id, week_no,
+        story, first_week, first_id): of each row its story and that story's first row, history included."""
         p = cut(prepared(batch, sources))
-        titled = p.filter("t is not null").select("t", "bare")
-        counts = cut(word_counts(titled))
-        known = counts if self.empty else counts.unionByName(self._read("words"))
-        known = known.groupBy("word").agg(F.sum("low").alias("low"), F.sum("all").alias("all"))
-        parts = cut(title_parts(titled, known))
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-        exact = p.select("seen_id", F.explode(F.array("k", "u", "t")).alias("h")).filter("h is not null").distinct()
-        exact = cut(exact.withColumn("bucket", bucket("h")))
-        edges, old_rows = _row_edges(p), None
-        if not self.empty:
-            sigs = parts.select("sig").distinct().withColumn("bucket", bucket("sig"))
-            old_titles = self._read("titles").join(sigs, ["bucket", "sig"], "left_semi").select("t", "sig", "tokens")
-            parts = cut(parts.unionByName(old_titles).dropDuplicates(["t"]))
-            links = cut(title_links(parts))
-            wanted = exact.select("bucket", "h").unionByName(
-                links.select(F.explode(F.array("a", "b")).alias("h")).select(bucket("h").alias("bucket"), "h")
-            ).distinct()
-            old = self._read("hashes").join(wanted, ["bucket", "h"], "left_semi").select("h", "story", "first_week", "first_id")
-            old = cut(old.distinct())
-            edges = edges.unionByName(links).unionByName(old.select(F.col("story").alias("a"), F.col("h").alias("b")))
-            old_rows = old.select(F.col("story").alias("node"), F.col("first_week").alias("week_no"), F.col("first_id").alias("seen_id")).distinct()
+        titles = cut(p.filter("t is not null and size(ws) > 0").groupBy("t").agg(F.min(F.struct("node", "ws")).alias("x")).select("t", "x.node", "x.ws"))
+        fresh = None if counted else cut(word_counts(p.filter("bare is not null")))
+        words = titles.select(F.explode("ws").alias("word"))
+        words = (words if fresh is None else words.unionByName(fresh.select("word"))).distinct()
+        ordinary, changed = self._ordinary(words, fresh)
+        hashes = p.select("node", F.explode(F.array("k", "u", "t")).alias("h")).filter("h is not null").unionByName(variants(marked(titles, ordinary)))
+        again = self._hashed_again(changed) if changed is not None else None
+        inc = cut((hashes if again is None else hashes.unionByName(again)).distinct())
+        shared = inc.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+        if self.empty:
+            live, old = shared.filter("a < z").select("h", "a"), None
+        else:
+            shared = cut(shared)
+            found = cut(self._read("hashes").join(shared.select("h"), "h").select("h", "story").distinct())
+            roots = cut(self.resolve(found.select("story").distinct()))
+            old = found.join(roots, "story").select("h", F.col("root").alias("story")).distinct()
+            old = cut(old)
+            held = old.select("h").distinct().withColumn("held", F.lit(True))
+            live = shared.join(held, "h", "left").filter("a < z or held").select("h", "a")
+        # a star around the first member of each shared hash, and one edge from there to each story that holds the hash
+        edges = salted_join(inc, live, ["h"], "node").filter("node <> a").select(F.col("node").alias("a"), F.col("a").alias("b"))
+        if old is not None:
+            edges = edges.unionByName(old.join(shared.select("h", F.col("a").alias("b")), "h").select(F.col("story").alias("a"), "b"))
+            if again is not None:  # a title hashed again stands for its story, which may have been joined to another since
+                moved = self.resolve(again.select(F.col("node").alias("story")).distinct())
+                edges = edges.unionByName(moved.filter("story <> root").select(F.col("story").alias("a"), F.col("root").alias("b")))
+        parts = components(edges)
+        told = p.select("node", "seen_id", "week_no").distinct().join(parts, "node", "left")
+        if old is None:
+            told = cut(told.select("node", "seen_id", "week_no", F.coalesce("component", "node").alias("story")))
+            known = told.select("story", "week_no", "seen_id")
+            new_hashes = inc
         else:
-            edges = edges.unionByName(title_links(parts))
-        found = components(edges)
-        mine = p.select(F.xxhash64(F.lit("r"), "seen_id").alias("node"), "week_no", "seen_id")
-        everyone = mine if old_rows is None else mine.unionByName(old_rows)
-        told = cut(everyone.join(found, "node", "left").withColumn("story", F.coalesce("component", "node")))
-        firsts = told.groupBy("story").agg(F.min(F.struct("week_no", "seen_id")).alias("first"))
-        out = cut(
-            mine.join(told.select("node", "story").distinct(), "node")
-            .join(firsts, "story")
-            .select("seen_id", "week_no", "story", F.col("first.week_no").alias("first_week"), F.col("first.seen_id").alias("first_id"))
-        )
-        row_hashes = exact.join(out.select("seen_id", "story", "first_week", "first_id"), "seen_id")
-        row_hashes = row_hashes.select("bucket", "h", "story", "first_week", "first_id").distinct()
-        self._append(row_hashes, "hashes")
-        self._append(parts.withColumn("bucket", bucket("sig")), "titles")
-        counts.write.mode("append").parquet(f"{self.path}/words")
+            before = cut(old.select("story").distinct().join(parts.withColumnRenamed("node", "story"), "story"))
+            canon = before.groupBy("component").agg(F.min("story").alias("canon"))
+            merges = cut(before.join(canon, "component").select("story", F.col("canon").alias("root")))
+            told = cut(told.join(canon, "component", "left").select("node", "seen_id", "week_no", F.coalesce("canon", "component", "node").alias("story")))
+            firsts = self._read("firsts").join(merges, "story").select(F.col("root").alias("story"), "week_no", "seen_id")
+            known = told.select("story", "week_no", "seen_id").unionByName(firsts)
+            joined = merges.filter("story <> root")
+            if not joined.isEmpty():
+                self._append("roots", joined)
+                self.merged = True
+            new_hashes = inc.join(old.select("h").distinct(), "h", "left_anti")
+        first = cut(known.groupBy("story").agg(F.min(F.struct("week_no", "seen_id")).alias("x")).select("story", "x.week_no", "x.seen_id"))
+        out = salted_join(told, first.select("story", F.col("week_no").alias("first_week"), F.col("seen_id").alias("first_id")), ["story"], "node")
+        out = cut(out.select("seen_id", "week_no", "story", "first_week", "first_id"))
+        stands = told.select("node", "story")
+        if again is not None:  # further hashes of old titles keep the titles' stories
+            stands = stands.unionByName(again.select("node").distinct().join(stands, "node", "left_anti").select("node", F.col("node").alias("story")))
+        self._append("hashes", new_hashes.join(stands, "node").select("h", "story").distinct())
+        self._append("firsts", first)
+        self._append("titles", titles.join(stands, "node"))
+        if fresh is not None:
+            self._append("words", fresh.withColumnRenamed("all", "total"))
         self.empty = False
         return out
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.repartition(8, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
-
 
 def _rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "seen_items").select("seen_id", "key", "url", "title", "first_seen", "week")
     return rows, table(spark, sf_dir, "sources").select("source")
 
 
+def told_in_batches(rows: DataFrame, sources: DataFrame, weeks: int = WEEKS) -> DataFrame:
+    """seen_id, week_no, story of all rows, fed to a history week by week in order, ``weeks`` at once. Words are counted over all
+    rows beforehand. Undated rows are the last batch."""
+    spark = rows.sparkSession
+    dated = cut(rows.withColumn("__week", iso_week(F.col("first_seen"), F.col("week"))))
+    known = [r[0] for r in dated.select("__week").distinct().orderBy("__week").collect()]  # one number a calendar week
+    state = History(spark)
+    state.learn(rows, sources)
+    parts = []
+    for lo in range(0, len(known), weeks):
+        some = dated.filter(F.col("__week").between(known[lo], known[min(lo + weeks, len(known)) - 1])).drop("__week")
+        parts.append(state.add(some, sources, counted=True).select("seen_id", "week_no", "story"))
+    if not parts:
+        return spark.createDataFrame([], "seen_id long, week_no int, story long")
+    every = functools.reduce(DataFrame.unionByName, parts)
+    if state.merged:
+        every = cut(salted_join(every, state.resolve(every.select("story").distinct()), ["story"], "seen_id").select("seen_id", "week_no", F.col("root").alias("story")))
+    state.close(delete=True)
+    return every
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(stories(*_rows(spark, sf_dir)))
+    return pairs(told_in_batches(*_rows(spark, sf_dir)))
 
 
 def p4_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last complete week (the one before the newest) as a new batch against all earlier weeks: each of its rows that
-    history already holds."""
+    """The newest week, with the rows without any week, as a batch against all earlier weeks: each of its rows that history
+    already holds, the story's first row, and whether the row is undated."""
     rows, sources = _rows(spark, sf_dir)
-    dated = rows.withColumn("__week", iso_week(F.col("first_seen"), F.col("week")))
-    newest = dated.filter("__week < 999999").select("__week").distinct().orderBy(F.desc("__week")).limit(2).collect()
-    last = newest[-1][0] if newest else 0
+    dated = cut(rows.withColumn("__week", iso_week(F.col("first_seen"), F.col("week"))))
+    last = dated.filter("__week < 999999").agg(F.max("__week")).first()[0] or 0  # one number
     state = History(spark)
     state.add(dated.filter(F.col("__week") < last).drop("__week"), sources)
-    got = state.add(dated.filter(F.col("__week") == last).drop("__week"), sources)
-    return got.filter("first_week < week_no").select("seen_id", "first_id")
+    got = state.add(dated.filter(F.col("__week") >= last).drop("__week"), sources)
+    state.close(delete=True)
+    return got.filter("first_week < week_no").select("seen_id", "first_id", (F.col("week_no") == 999_999).alias("undated"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_batch": p4_batch}

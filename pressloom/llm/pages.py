@@ -123,8 +123,10 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
         labelled = []
         for k, (n, s) in enumerate(lines):
             f, m, w = folded(s), " ".join(tokens(s)), " ".join(title_words(s))
-            many = len(held[r.source or "", f]) >= 3 or len(hosts[f]) >= 3 or ("X" not in m and len(stories[f]) >= 2)
             ends, wordy = bool(ENDS.search(s)), sum(t.islower() and t != "x" for t in tokens(s)) >= 5
+            sentence = len(s) >= 50 and ends and wordy and "X" in m
+            # several sources may tell one story in the same sentence, so that alone makes it no furniture
+            many = len(held[r.source or "", f]) >= 3 or (len(hosts[f]) >= 3 and not sentence) or ("X" not in m and len(stories[f]) >= 2)
             kind = -1
             if open_slots(s):
                 kind = RESIDUE
@@ -134,7 +136,7 @@ def weak_labels(sampled: list[Row]) -> list[tuple[Row, list[tuple[int, str, int]
                 kind = HEADLINE
             elif many or " > " in s or " | " in s or TAGS.match(s):
                 kind = FURNITURE
-            elif len(s) >= 50 and ends and wordy and "X" in m:
+            elif sentence:
                 kind = PROSE  # sentences that name nobody stay open: they may be notices
             elif not ends and len(s) < 90 and mask_n[m] >= 4 and len(masks[m]) >= 3 and early[m] >= 0.9 * mask_n[m] and "X" in m:
                 kind = FURNITURE  # bylines: one form, many names, always above the first paragraph

@@ -1,7 +1,7 @@
 """Problems 4, 5, 6, 8 and 9 against brute force on small tables, with odd rows."""
 
+import itertools
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -194,49 +194,115 @@ def test_stories(spark):
     ]
     sources = spark.createDataFrame([("The Wire",), (None,)], "source string")
     df = ledger(spark, rows).withColumn("story", history.F.lit("clash")).drop("story")
-    got = {(r.seen_id_a, r.seen_id_b) for r in history.pairs(history.stories(df, sources)).collect()}
+    got = {(r.seen_id_a, r.seen_id_b) for r in history.pairs(history.told_in_batches(df, sources)).collect()}
     assert {p for p in got if p[0] < 7} == {(1, 2), (1, 3), (1, 4), (1, 5)} and {p for p in got if p[0] >= 7} == {(7, 100)}
-    assert history.pairs(history.stories(df.limit(0), sources)).count() == 0
+    assert history.pairs(history.told_in_batches(df.limit(0), sources)).count() == 0
 
 
-def test_batches_agree_with_one_pass(spark, data):
-    rows, sources = history._rows(spark, data)
-    dated = rows.withColumn("w", history.iso_week(history.F.col("first_seen"), history.F.col("week")))
-    last = sorted(r.w for r in dated.select("w").distinct().collect())[-12:]
-    state = history.History(spark)
-    state.add(dated.filter(dated.w < last[0]).drop("w"), sources)
-    got = {(r.first_id, r.seen_id) for r in state.add(dated.filter(dated.w >= last[0]).drop("w"), sources).collect() if r.first_week < r.week_no}
-    whole = history.pairs(history.stories(rows, sources)).collect()
-    late = {r.seen_id for r in dated.filter(dated.w >= last[0]).select("seen_id").collect()}
-    want = {(r.seen_id_a, r.seen_id_b) for r in whole if r.seen_id_b in late} | {(r.seen_id_b, r.seen_id_a) for r in whole if r.seen_id_a in late}
-    assert got and {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want}
-
-
-def test_large_groups_give_the_same_links(spark, data, monkeypatch):
+def brute_stories(spark, rows, sources):
+    """Pairs by union-find over all rows; titles are compared with each other word by word."""
+    p = [r for r in history.prepared(rows, sources).distinct().collect()]
+    counts = {r.word: r.low * 2 > r["all"] for r in history.word_counts(history.prepared(rows, sources).filter("bare is not null")).collect()}
+    up = {r.node: r.node for r in p}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def less(ws):
+        out = set()
+        for k in range(3):
+            if len(ws) - k > max(2, k):
+                free = [i for i, w in enumerate(ws) if counts.get(w)]
+                out |= {tuple(w for i, w in enumerate(ws) if i not in gone) for gone in itertools.combinations(free, k)}
+        return out
+
+    forms = [less(r.ws) if r.t is not None else set() for r in p]
+    for i, x in enumerate(p):
+        for j in range(i):
+            y = p[j]
+            if any(x[c] is not None and x[c] == y[c] for c in "kut") or forms[i] & forms[j]:
+                up[find(x.node)] = find(y.node)
+    stories = defaultdict(list)
+    for r in p:
+        stories[find(r.node)].append((r.week_no, r.seen_id))
+    out = set()
+    for s in stories.values():
+        w, first = min(s)
+        out |= {tuple(sorted((first, i))) for v, i in s if v > w and i != first}
+    return out
+
+
+def test_stories_against_brute_force_whatever_the_batches(spark, data):
     rows, sources = history._rows(spark, data)
-    pairs = lambda: {tuple(r) for r in history.pairs(history.stories(rows, sources)).collect()}
-    want = pairs()
-    monkeypatch.setattr(history, "FEW", 1)
-    monkeypatch.setattr(history, "VOCABULARY", 0)
-    assert want and pairs() == want
+    pairs = lambda weeks: {tuple(r) for r in history.pairs(history.told_in_batches(rows, sources, weeks)).collect()}
+    want = brute_stories(spark, rows, sources)
+    assert want and pairs(1000) == want and pairs(12) == want  # 12: at least six batches
 
 
-def test_variants_cover_two_words():
-    def near(a, b):
-        return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
+def weekly(spark, sources, batches):
+    state = history.History(spark, buckets=2)
+    got = [{r.seen_id: r.first_id for r in state.add(ledger(spark, b), sources).collect()} for b in batches]
+    state.close(delete=True)
+    return got
 
-    from itertools import combinations
 
-    rng = random.Random(0)
-    titles = [tuple(rng.choice("abc") for _ in range(6)) for _ in range(40)]
-    keys = defaultdict(set)
-    for t in titles:
-        for k in range(3):
-            for gone in combinations(range(6), k):
-                keys[tuple(w for i, w in enumerate(t) if i not in gone)].add(t)
-    linked = {(a, b) for g in keys.values() for a in g for b in g}
-    assert all((a, b) in linked for a in titles for b in titles if near(a, b))
-    assert re.fullmatch(history.WORDS.replace(r"\p{L}\p{N}", r"\w"), "word")
+def test_merges_are_carried_on(spark):
+    sources = spark.createDataFrame([("The Wire",)], "source string")
+    t = "2026-01-{:02d}T00:00:00+00:00".format
+    rows = [
+        (1, "k1", "", "", t(5), None), (2, "k2", "https://a.example/u2", "", t(12), None), (3, "k1", "https://a.example/u2", "", t(19), None),
+        (4, "k2", "", "", t(26), None), (5, "k5", "https://a.example/u5", "", t(27), None), (6, "k5", "https://a.example/u2", "", t(28), None), (7, "", "https://a.example/u5", "", t(29), None),
+    ]
+    got = weekly(spark, sources, [[r] for r in rows])
+    assert [g[i] for i, g in enumerate(got, 1)] == [1, 2, 1, 1, 5, 1, 1]
+
+
+def test_words_that_turn_ordinary_link_old_titles(spark):
+    sources = spark.createDataFrame([("The Wire",)], "source string")
+    t = "2026-01-{:02d}T00:00:00+00:00".format
+    filler = [(100 + i, f"f{i}", "", f"Tandis said a {w} plan of Mirrow number {i} was kept", t(12), None) for i, w in enumerate(["quiet", "large"] * 3)]
+    first = [(1, "a", "", "Orsa Opened Its Quiet Library Of Velt", t(5), None)]
+    second = [(2, "b", "", "ORSA OPENED ITS LARGE LIBRARY OF VELT", t(12), None), *filler]
+    got = weekly(spark, sources, [first, second, [(3, "c", "", "Orsa Opened Its Quiet Library Of Velt | The Wire", t(19), None)]])
+    assert got[1][2] == 1 and got[2][3] == 1
+    assert brute_stories(spark, ledger(spark, first + second), sources) == {(1, 2)}
+
+
+def test_history_is_not_shuffled(spark, data):
+    rows, sources = history._rows(spark, data)
+    state = history.History(spark, buckets=4)
+    state.add(rows, sources)
+    keys = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = spark.range(1000).selectExpr("id AS h").repartition(3)
+        plan = state._read("hashes").join(batch, "h")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keys)
+        state.close(delete=True)
+    side = plan[plan.index("hashes") - 1500 : plan.index("hashes")] if "hashes" in plan else plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, side
+
+
+def test_long_titles_have_all_their_variants():
+    rng = random.Random(4)
+    ws = [f"w{rng.randint(0, 50)}" for _ in range(60)]
+    free = [i for i in range(60) if i % 3]
+    got = np.concatenate(list(history.variant_hashes(ws, free)))
+    assert len(got) == 1 + len(free) + len(free) * (len(free) - 1) // 2
+    cut_ws = [w for i, w in enumerate(ws) if i not in (1, 58)]
+    assert np.concatenate(list(history.variant_hashes(cut_ws, [])))[0] in got
+    assert sum(len(x) for x in history.variant_hashes(["w"] * 3000, list(range(2000)))) == 1 + 2000 + 2000 * 1999 // 2
+
+
+def test_a_large_vocabulary_gives_the_same_pairs(spark, data, monkeypatch):
+    rows, sources = history._rows(spark, data)
+    pairs = lambda: {tuple(r) for r in history.pairs(history.told_in_batches(rows, sources, 1000)).collect()}
+    want = pairs()
+    monkeypatch.setattr(history, "VOCABULARY", 0)
+    assert want and pairs() == want
 
 
 @pytest.mark.parametrize("name", ["p4_batch", "p6_counts", "p9_items", "p5_blocks"])
