@@ -4,7 +4,10 @@ Method: every row gives exact hashes of its normalised content - folded key, pag
 hashes, which for a ledger of titles are hashes of the title without each choice of up to MAY_DIFFER ordinary words
 (rolling polynomial hashes: each costs a few multiplications, however long the title). Rows that share a hash tell the
 same story, directly or through others. The hashes live in a Spark table bucketed by hash: a batch's hashes are joined
-with it bucket by bucket (history is read in its buckets and never shuffled; no text of it is read), and then appended.
+with it bucket by bucket (history is read in its buckets and never shuffled), and then appended.
+
+* Titles can only agree if their names and numbers do. A title is kept by the hash of those (its signature), and it has its
+  paragraph hashes taken once a second title has the same signature; from then on new titles meet hashes, not titles.
 
 * Stories that a batch joins go into a table of roots (story -> root), through which later finds are resolved.
 * Which words are ordinary is counted, and the counts grow. Where a batch makes a word ordinary, the old titles with that
@@ -180,8 +183,9 @@ def variants(titles: DataFrame) -> DataFrame:
     return titles.select("node", "ws", "free").mapInArrow(run, "node long, h long")
 
 
-def marked(titles: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """node, ws, free of titles (node, ws). ``ordinary``: word. At most VOCABULARY words (counted) go to the tasks, more are joined."""
+def signed(titles: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """t, node, ws, free, sig of titles (t, node, ws): places of ordinary words, and the hash of all others. ``ordinary``: word.
+    At most VOCABULARY words (counted) go to the tasks, more are joined."""
     known = ordinary.limit(VOCABULARY + 1).collect()
     if len(known) <= VOCABULARY:
         words = titles.sparkSession.sparkContext.broadcast(frozenset(r.word for r in known))
@@ -190,12 +194,15 @@ def marked(titles: DataFrame, ordinary: DataFrame) -> DataFrame:
             free = words.value
             for b in batches:
                 at = [[i for i, w in enumerate(ws or ()) if w in free] for ws in b.column("ws").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("ws"), pa.array(at, pa.list_(pa.int32()))], names=["node", "ws", "free"])
+                yield pa.RecordBatch.from_arrays([b.column("t"), b.column("node"), b.column("ws"), pa.array(at, pa.list_(pa.int32()))], names=["t", "node", "ws", "free"])
 
-        return titles.select("node", "ws").mapInArrow(mark, "node long, ws array<string>, free array<int>")
-    each = titles.select("node", F.posexplode("ws").alias("pos", "word")).join(ordinary, "word", "left_semi")
-    places = each.groupBy("node").agg(F.array_sort(F.collect_list("pos")).alias("free"))
-    return titles.select("node", "ws").join(places, "node", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
+        got = titles.select("t", "node", "ws").mapInArrow(mark, "t long, node long, ws array<string>, free array<int>")
+    else:
+        each = titles.select("t", F.posexplode("ws").alias("pos", "word")).join(ordinary, "word", "left_semi")
+        places = each.groupBy("t").agg(F.array_sort(F.collect_list("pos")).alias("free"))
+        got = titles.select("t", "node", "ws").join(places, "t", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
+    names = F.filter("ws", lambda w, i: ~F.array_contains("free", i))
+    return got.withColumn("sig", F.xxhash64(F.array_join(names, " ")))
 
 
 def prepared(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -225,12 +232,12 @@ class History:
     """The accepted rows as Spark tables bucketed by their key, under ``path``; a batch appends and rewrites nothing.
 
     hashes(h, story); roots(story, root): stories that later batches joined to others; firsts(story, week_no, seen_id): least
-    counts; titles(t, ws, story); words(word, low, all): counts that tell ordinary words. An existing ``path`` is opened.
+    counts; titles(sig, t, ws, free, story); words(word, low, all): counts that tell ordinary words. An existing ``path`` is opened.
     """
 
     TABLES = {
         "hashes": ("h", "h long, story long"), "roots": ("story", "story long, root long"), "firsts": ("story", "story long, week_no int, seen_id long"),
-        "titles": ("t", "t long, ws array<string>, story long"), "words": ("word", "word string, low long, total long"),
+        "titles": ("sig", "sig long, t long, ws array<string>, free array<int>, story long"), "words": ("word", "word string, low long, total long"),
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
@@ -283,14 +290,17 @@ class History:
         state = cut(new.select("word", now.alias("now"), is_ordinary(F.col("low"), F.col("total")).alias("before")))
         return state.filter("now").select("word"), state.filter("now and not before").select("word")
 
-    def _hashed_again(self, changed: DataFrame) -> DataFrame | None:
-        """node (the story), h of old titles that hold a word that has turned ordinary."""
+    def _turned(self, changed: DataFrame) -> DataFrame | None:
+        """t, ws, story of old titles that hold a word that has turned ordinary."""
         if self.empty or changed.isEmpty():
             return None
-        holds = self._read("titles").select("t", F.explode("ws").alias("word")).join(changed, "word", "left_semi").select("t").distinct()
-        titles = cut(self._read("titles").join(holds, "t", "left_semi").groupBy("t").agg(F.min(F.struct("ws", "story")).alias("x")).select("x.ws", F.col("x.story").alias("node")))
-        ordinary, _ = self._ordinary(titles.select(F.explode("ws").alias("word")).distinct(), None)
-        return variants(marked(titles, ordinary.unionByName(changed).distinct()))
+        each = self._read("titles").select("t", F.explode("ws").alias("word"))
+        holds = each.join(changed, "word", "left_semi").select("t").distinct()
+        return cut(self._read("titles").join(holds, "t", "left_semi").groupBy("t").agg(F.min(F.struct("ws", "story")).alias("x")).select("t", "x.ws", "x.story"))
+
+    def _rooted(self, titles: DataFrame) -> DataFrame:
+        """``titles`` (.., story) with ``node``, the story's root."""
+        return titles.join(self.resolve(titles.select("story").distinct()), "story").withColumn("node", F.col("root")).drop("story", "root")
 
     def add(self, batch: DataFrame, sources: DataFrame, counted: bool = False) -> DataFrame:
         """Check ``batch`` (seen_id, key, url, title, first_seen, week) against history, append it, and return (seen_id, week_no,
@@ -301,35 +311,47 @@ class History:
         words = titles.select(F.explode("ws").alias("word"))
         words = (words if fresh is None else words.unionByName(fresh.select("word"))).distinct()
         ordinary, changed = self._ordinary(words, fresh)
-        hashes = p.select("node", F.explode(F.array("k", "u", "t")).alias("h")).filter("h is not null").unionByName(variants(marked(titles, ordinary)))
-        again = self._hashed_again(changed) if changed is not None else None
-        inc = cut((hashes if again is None else hashes.unionByName(again)).distinct())
+        mine = signed(titles, ordinary)
+        turned = self._turned(changed) if changed is not None else None
+        if turned is not None:  # their other words need not stand in the batch
+            ordinary, _ = self._ordinary(turned.select(F.explode("ws").alias("word")).distinct(), None)
+            mine = mine.unionByName(signed(self._rooted(turned).select("t", "node", "ws"), ordinary.unionByName(changed).distinct()))
+        mine = cut(mine)
+        # signatures of several titles; where history has just one of them, that one's hashes are taken now
+        own = mine.groupBy("sig").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        if self.empty:
+            several, spread = own.filter("lo < hi").select("sig"), None
+        else:
+            kept = self._read("titles").join(own.select("sig"), "sig", "left_semi")
+            kept = kept.groupBy("sig").agg(F.min(F.struct("t", "ws", "free", "story")).alias("x"), F.max("t").alias("top"))
+            both = cut(own.join(kept, "sig", "left").filter("lo < hi or x.t <> lo or top <> lo"))
+            several = both.select("sig")
+            spread = self._rooted(both.filter("x.t = top").select("x.t", "x.ws", "x.free", "x.story")).select("node", "ws", "free")
+        expand = salted_join(mine, several, ["sig"], "t").select("node", "ws", "free")
+        exact = p.select("node", F.explode(F.array("k", "u", "t")).alias("h")).filter("h is not null")
+        inc = cut(exact.unionByName(variants(expand if spread is None else expand.unionByName(spread))))
         shared = inc.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z"))
         if self.empty:
             live, old = shared.filter("a < z").select("h", "a"), None
         else:
             shared = cut(shared)
             found = cut(self._read("hashes").join(shared.select("h"), "h").select("h", "story").distinct())
-            roots = cut(self.resolve(found.select("story").distinct()))
-            old = found.join(roots, "story").select("h", F.col("root").alias("story")).distinct()
-            old = cut(old)
+            old = cut(self._rooted(found).select("h", F.col("node").alias("story")).distinct())
             held = old.select("h").distinct().withColumn("held", F.lit(True))
             live = shared.join(held, "h", "left").filter("a < z or held").select("h", "a")
         # a star around the first member of each shared hash, and one edge from there to each story that holds the hash
         edges = salted_join(inc, live, ["h"], "node").filter("node <> a").select(F.col("node").alias("a"), F.col("a").alias("b"))
         if old is not None:
             edges = edges.unionByName(old.join(shared.select("h", F.col("a").alias("b")), "h").select(F.col("story").alias("a"), "b"))
-            if again is not None:  # a title hashed again stands for its story, which may have been joined to another since
-                moved = self.resolve(again.select(F.col("node").alias("story")).distinct())
-                edges = edges.unionByName(moved.filter("story <> root").select(F.col("story").alias("a"), F.col("root").alias("b")))
         parts = components(edges)
         told = p.select("node", "seen_id", "week_no").distinct().join(parts, "node", "left")
         if old is None:
             told = cut(told.select("node", "seen_id", "week_no", F.coalesce("component", "node").alias("story")))
-            known = told.select("story", "week_no", "seen_id")
-            new_hashes = inc
+            known, stands, new_hashes = told.select("story", "week_no", "seen_id"), told.select("node", "story"), inc
         else:
-            before = cut(old.select("story").distinct().join(parts.withColumnRenamed("node", "story"), "story"))
+            # old stories among the nodes: by hash, and those whose titles were hashed now
+            olds = old.select("story").unionByName(inc.select(F.col("node").alias("story")).join(p.select(F.col("node").alias("story")), "story", "left_anti")).distinct()
+            before = cut(olds.join(parts.withColumnRenamed("node", "story"), "story", "left").withColumn("component", F.coalesce("component", "story")))
             canon = before.groupBy("component").agg(F.min("story").alias("canon"))
             merges = cut(before.join(canon, "component").select("story", F.col("canon").alias("root")))
             told = cut(told.join(canon, "component", "left").select("node", "seen_id", "week_no", F.coalesce("canon", "component", "node").alias("story")))
@@ -339,16 +361,14 @@ class History:
             if not joined.isEmpty():
                 self._append("roots", joined)
                 self.merged = True
+            stands = told.select("node", "story").unionByName(merges.select(F.col("story").alias("node"), F.col("root").alias("story"))).distinct()
             new_hashes = inc.join(old.select("h").distinct(), "h", "left_anti")
         first = cut(known.groupBy("story").agg(F.min(F.struct("week_no", "seen_id")).alias("x")).select("story", "x.week_no", "x.seen_id"))
         out = salted_join(told, first.select("story", F.col("week_no").alias("first_week"), F.col("seen_id").alias("first_id")), ["story"], "node")
         out = cut(out.select("seen_id", "week_no", "story", "first_week", "first_id"))
-        stands = told.select("node", "story")
-        if again is not None:  # further hashes of old titles keep the titles' stories
-            stands = stands.unionByName(again.select("node").distinct().join(stands, "node", "left_anti").select("node", F.col("node").alias("story")))
         self._append("hashes", new_hashes.join(stands, "node").select("h", "story").distinct())
         self._append("firsts", first)
-        self._append("titles", titles.join(stands, "node"))
+        self._append("titles", mine.join(stands, "node"))
         if fresh is not None:
             self._append("words", fresh.withColumnRenamed("all", "total"))
         self.empty = False
@@ -386,8 +406,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest week, with the rows without any week, as a batch against all earlier weeks: each of its rows that history
-    already holds, the story's first row, and whether the row is undated."""
+    """The newest week, with the rows without any week, as a batch against all earlier weeks: every row of the batch, the
+    story's first row where an earlier week holds it (else null), and whether the row is undated."""
     rows, sources = _rows(spark, sf_dir)
     dated = cut(rows.withColumn("__week", iso_week(F.col("first_seen"), F.col("week"))))
     last = dated.filter("__week < 999999").agg(F.max("__week")).first()[0] or 0  # one number
@@ -395,7 +415,7 @@ def p4_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.add(dated.filter(F.col("__week") < last).drop("__week"), sources)
     got = state.add(dated.filter(F.col("__week") >= last).drop("__week"), sources)
     state.close(delete=True)
-    return got.filter("first_week < week_no").select("seen_id", "first_id", (F.col("week_no") == 999_999).alias("undated"))
+    return got.select("seen_id", F.when(F.col("first_week") < F.col("week_no"), F.col("first_id")).alias("first_id"), (F.col("week_no") == 999_999).alias("undated"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_batch": p4_batch}
