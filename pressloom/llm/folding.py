@@ -11,12 +11,15 @@ Defined results:
 * rows without url (null or blank) group by source_type and title; those with url by title and url alone
 * a row whose fields hold no letter and no digit at all is no copy of anything; null keys likewise
 * rows with one and the same id are one row
+* texts are compared in NFC, each by itself
 * the hashes of a group agreeing while the folded texts differ raises an error (never seen: 128 bits)
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import unicodedata
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -74,15 +77,12 @@ def fold_hash(values: pa.Array) -> np.ndarray:
     out = np.zeros((n, 2), np.uint64)
     if not n:
         return out
-    text = "".join(values.to_pylist())
-    lengths = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # every row in NFC, whatever rows share its batch
+    texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in values.to_pylist()]
+    lengths = np.fromiter(map(len, texts), np.int64, n)
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(cp):
         return out
-    if ((cp >= 0x300) & (cp < 0x370)).any():  # combining marks: compose first
-        values = pc.utf8_normalize(values, "NFC")
-        lengths = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-        cp = np.frombuffer("".join(values.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     return _hash(cp, lengths, out)
 
 
@@ -159,9 +159,6 @@ def skipping_equal(a: str | None, b: str | None) -> bool:
                     if x.isalnum():
                         yield x
 
-    import itertools
-    import unicodedata
-
     a, b = unicodedata.normalize("NFC", a or ""), unicodedata.normalize("NFC", b or "")
     return all(x == y for x, y in itertools.zip_longest(folded(a), folded(b)))
 

@@ -26,6 +26,14 @@ def test_hashes_agree_exactly_with_the_comparison(texts):
             assert (tuple(h[i]) == tuple(h[j])) == folding.skipping_equal(a, b)
 
 
+def test_a_hash_does_not_depend_on_its_batch():
+    import pyarrow as pa
+
+    texts = ["\uf900", "e\u0301", "é", "A\u030a", "\u212b", "plain"]
+    alone = [tuple(folding.fold_hash(pa.array([t]))[0]) for t in texts]
+    assert [tuple(x) for x in folding.fold_hash(pa.array(texts))] == alone and alone[1] == alone[2] and alone[3] == alone[4]
+
+
 def test_copies_and_odd_rows(spark):
     rows = [
         ("items", 1, "rss", "Größe, A!", "https://a.example/x-y?a=1&b=2"),

@@ -205,6 +205,25 @@ def test_garbling_of_a_third_of_the_documents(spark, read):
     assert all(got[k] == docs[k] for k in got)
 
 
+def test_spans_beside_sound_letters_are_restored(spark):
+    """Lines that hold sound accented letters and a damaged span, and a lost byte told by the frequency of words."""
+    docs = ["\n\n".join(random.Random(k * 7 + j).choice(CLEAN[:5]) for j in range(4)) for k in range(300)]
+    mixed = CLEAN[1].replace("été", wrong("été", "utf-8", "cp1252"))
+    assert "à" in mixed and mixed != CLEAN[1]
+    lost = wrong("Á Álava", "utf-8", "cp1252").replace("\x81", "\ufffd")
+    rows = [*enumerate(docs), (900, mixed), (901, lost), (902, "CAFÉ”, dit-il, à l’étranger. " + CLEAN[1])]
+    rows += [(1000 + k, "Álava queda en Álava.") for k in range(20)]
+    got = {r.doc_id: r.restored for r in mojibake.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {900: CLEAN[1], 901: "Á Álava"}
+
+
+def test_many_lost_bytes_are_searched_whole():
+    model = mojibake.Model(10, {"S😀S": 5, "SéS": 3}, {})
+    any_byte = tuple(range(0x80, 0xC0))
+    assert mojibake._utf8([(0xF0,), any_byte, any_byte, any_byte], model, "S", "S") == ["😀"]
+    assert mojibake._utf8([(0xC3,), (0xA9,)] * 3, model, "S", "S") == ["ééé"]
+
+
 def learn_lit(x):
     from pyspark.sql import functions as F
 
