@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressloom.runtime import cut, small_side, table
+from pressloom.runtime import cut, table
 
-#: Length buckets for each capacity; items that one rank group holds on average; specs that one run takes.
-BUCKETS, GROUP, MOST_SPECS = 128, 50_000, 1000
+#: Length buckets for each capacity; items that one rank group holds on average; specs that are planned at once.
+BUCKETS, GROUP, AT_ONCE = 128, 50_000, 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -127,15 +128,19 @@ def plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int,
     return out
 
 
-def packed(counts: DataFrame, specs: list[tuple[int, int, str | None]], buckets: int = BUCKETS) -> DataFrame:
+def packed(counts: DataFrame, specs: list[tuple[int, int, str | None]], buckets: int = BUCKETS, at_once: int = AT_ONCE) -> DataFrame:
     """spec_id, container_id, doc_id, part, n_tokens: every item of ``counts`` (doc_id, lang, n_tokens), once for each spec
-    (spec_id, capacity, lang) that takes it."""
-    spark = counts.sparkSession
+    (spec_id, capacity, lang) that takes it. Any number of specs: ``at_once`` of them share a pass over the counts."""
     specs = [s for s in specs if s[1] and s[1] >= 1]
     schema = "spec_id int, container_id long, doc_id long, part long, n_tokens long"
     if not specs:
-        return spark.createDataFrame([], schema)
+        return counts.sparkSession.createDataFrame([], schema)
     one = cut(counts.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "lang")).alias("x")).select("doc_id", "x.lang", "x.n_tokens"))
+    return functools.reduce(DataFrame.unionByName, (_packed_some(one, specs[lo : lo + at_once], buckets, schema) for lo in range(0, len(specs), at_once)))
+
+
+def _packed_some(one: DataFrame, specs: list[tuple[int, int, str | None]], buckets: int, schema: str) -> DataFrame:
+    spark = one.sparkSession
     options = F.array(*(F.struct(F.lit(i).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("cap"), F.lit(lang).cast("string").alias("want")) for i, c, lang in specs))
     each = one.select("doc_id", "n_tokens", F.lower("lang").alias("lang"), F.inline(options)).filter("want is null or lower(want) = lang")
     # a document beyond the capacity: full parts, then the rest
@@ -147,7 +152,7 @@ def packed(counts: DataFrame, specs: list[tuple[int, int, str | None]], buckets:
     items = cut(items)
     # at most capacity rows a spec, whatever the corpus
     histogram = items.groupBy("spec_id", "size").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    bound_rows, plan_rows = [], []
+    plans: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
     for spec_id, capacity, _ in specs:
         h = histogram[histogram.spec_id == spec_id].sort_values("size")
         if not len(h):
@@ -155,35 +160,53 @@ def packed(counts: DataFrame, specs: list[tuple[int, int, str | None]], buckets:
         size, n = h["size"].to_numpy(), h["n"].to_numpy()
         bounds = boundaries(size, n, buckets)
         bucket = np.searchsorted(bounds, size)
-        total = [int(n[bucket == k].sum()) for k in range(len(bounds))]
-        bound_rows += [(spec_id, int(s), int(k)) for s, k in zip(size, bucket, strict=True)]
-        plan_rows += [(spec_id, *line) for line in plan(bounds, total, capacity)]
-    if not plan_rows:
+        lines = np.array(plan(bounds, [int(n[bucket == k].sum()) for k in range(len(bounds))], capacity), np.int64)
+        # of each bucket its lines (first rank, items per container, first container) by rank
+        plans[spec_id] = np.array(bounds), {k: (own := lines[lines[:, 0] == k][:, 1:4])[np.argsort(own[:, 0], kind="stable")] for k in range(len(bounds))}
+    if not plans:
         return spark.createDataFrame([], schema)
-    of_size = spark.createDataFrame(pd.DataFrame(bound_rows, columns=["spec_id", "size", "bucket"]), "spec_id int, size long, bucket int")
-    lines = spark.createDataFrame(
-        pd.DataFrame(plan_rows, columns=["spec_id", "bucket", "first", "each", "container", "times"]),
-        "spec_id int, bucket int, first long, each long, container long, times long",
-    )
+    # the plans are bounded by buckets and capacities, not by the corpus
+    data = spark.sparkContext.broadcast(pickle.dumps(plans))
     groups = max(8, int(histogram.n.sum() // GROUP))
-    placed = items.join(small_side(of_size, 1_000_000), ["spec_id", "size"]).withColumn("g", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("int"))
+
+    def into_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = _plans(data.value)
+        for b in batches:
+            spec, size = b.column("spec_id").to_numpy(), b.column("size").to_numpy()
+            bucket = np.zeros(len(spec), np.int32)
+            for i in np.unique(spec):
+                bucket[spec == i] = np.searchsorted(plans[i][0], size[spec == i])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("spec_id", "doc_id", "part", "n_tokens")), pa.array(bucket)], names=["spec_id", "doc_id", "part", "n_tokens", "bucket"])
+
+    def into_containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = _plans(data.value)
+        for b in batches:
+            spec, bucket, rank = (b.column(k).to_numpy() for k in ("spec_id", "bucket", "rank"))
+            container = np.zeros(len(spec), np.int64)
+            pair = spec.astype(np.int64) << 32 | bucket
+            for x in np.unique(pair):
+                own = pair == x
+                lines = plans[int(x >> 32)][1][int(x & 0xFFFFFFFF)]
+                line = lines[np.searchsorted(lines[:, 0], rank[own], side="right") - 1]
+                container[own] = line[:, 2] + (rank[own] - line[:, 0]) // line[:, 1]
+            yield pa.RecordBatch.from_arrays([b.column("spec_id"), pa.array(container), *(b.column(k) for k in ("doc_id", "part", "n_tokens"))], names=["spec_id", "container_id", "doc_id", "part", "n_tokens"])
+
+    placed = items.mapInArrow(into_buckets, "spec_id int, doc_id long, part long, n_tokens long, bucket int")
+    placed = cut(placed.withColumn("g", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("int")))
     sizes = placed.groupBy("spec_id", "bucket", "g").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("spec_id", "bucket", "g", (F.sum("n").over(Window.partitionBy("spec_id", "bucket").orderBy("g")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("spec_id", "bucket", "g").orderBy("doc_id", "part")) - 1
     ranked = placed.withColumn("inside", inside).join(before, ["spec_id", "bucket", "g"]).withColumn("rank", F.col("before") + F.col("inside"))
-    # the line of a rank: the lines of a bucket as one sorted array each (bounded by the plan), searched JVM-side
-    arrays = lines.groupBy("spec_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("first", "each", "container", "times"))).alias("lines"))
-    hit = F.element_at(F.filter("lines", lambda x: x["first"] <= F.col("rank")), -1)
-    got = ranked.join(small_side(arrays, 1_000_000), ["spec_id", "bucket"]).withColumn("line", hit)
-    container = F.col("line.container") + F.floor((F.col("rank") - F.col("line.first")) / F.col("line.each"))
-    return got.select("spec_id", container.cast("long").alias("container_id"), "doc_id", "part", "n_tokens")
+    return ranked.select("spec_id", "bucket", "rank", "doc_id", "part", "n_tokens").mapInArrow(into_containers, schema)
+
+
+@functools.lru_cache(2)
+def _plans(data: bytes) -> dict:
+    return pickle.loads(data)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    rows = table(spark, sf_dir, "pack_specs").select("spec_id", "capacity", "lang").limit(MOST_SPECS + 1).collect()
-    if len(rows) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specs")
-    specs = [(r.spec_id, r.capacity, r.lang) for r in rows]
+    specs = [(r.spec_id, r.capacity, r.lang) for r in table(spark, sf_dir, "pack_specs").select("spec_id", "capacity", "lang").toLocalIterator()]
     return packed(token_counts(table(spark, sf_dir, "documents")), specs), specs
 
 

@@ -94,7 +94,26 @@ def test_blocks_and_odd_rows(spark):
 
 
 def test_leaks(spark, data):
-    compare(leakage.QUERIES["p9_found"](spark, data), views(data), leakage.ORACLES["p9_found"])
+    for name in ("p9_found", "p9_items"):
+        compare(leakage.QUERIES[name](spark, data), views(data), leakage.ORACLES[name])
+
+
+def test_retrieval_is_that_of_a_full_scan():
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 300)
+    ix = leakage.Index([(k, text(int(rng.integers(13, 60))), "", "") for k in range(150)])
+    docs = [text(int(n)).split() for n in rng.integers(0, 200, 40)]
+    got = set(ix.search(docs))
+    weight = np.zeros((len(ix.vocab), 150))
+    for t in range(len(ix.vocab)):
+        for e in range(ix.first[t], ix.first[t + 1]):
+            weight[t, ix.item[ix.at[e] : ix.at[e + 1]]] = ix.weight[ix.at[e] : ix.at[e + 1]]
+    step, want = leakage.WINDOW - leakage.N + 1, set()
+    for d, ws in enumerate(docs):
+        for lo in range(0, max(1, len(ws)), step):
+            terms = {ix.vocab[w] for w in ws[lo : lo + leakage.WINDOW] if w in ix.vocab}
+            want |= {(d, int(k), lo, leakage.WINDOW) for k in np.flatnonzero(weight[sorted(terms)].sum(axis=0) >= 0.999)}
+    assert got == want and want
 
 
 def test_leaks_at_every_offset(spark):
@@ -118,6 +137,8 @@ def test_leaks_at_every_offset(spark):
     df = spark.createDataFrame(docs + docs[:2] + [(900, None), (901, "")], "doc_id long, text string")
     got = {(r.eval_id, r.doc_id) for r in leakage.leaks(df, items).collect()}
     assert got == want
+    small = {(r.eval_id, r.doc_id) for r in leakage.leaks(df, iter(items), size=2000).collect()}  # many passes
+    assert small == want
     assert leakage.leaks(df, []).count() == 0 and leakage.leaks(df.limit(0), items).count() == 0
 
 
@@ -153,6 +174,9 @@ def test_every_item_once_within_capacity(spark):
         assert g.groupby("doc_id").n_tokens.sum().to_dict() == docs
         parts = g.groupby("doc_id").size()
         assert all(parts[i] == max(1, -(-n // cap)) for i, n in docs.items()) and not g.duplicated(["doc_id", "part"]).any()
+    many = [(k, 90 + k, None) for k in range(7)]
+    apart = packing.packed(df, many, buckets=4, at_once=2).groupBy("spec_id").count().collect()
+    assert len(apart) == 7 and all(r["count"] >= 400 for r in apart)
     assert packing.packed(df.limit(0), [(1, 100, None)]).count() == 0 and packing.packed(df, []).count() == 0
 
 
