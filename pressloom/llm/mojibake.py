@@ -95,7 +95,9 @@ class Model:
                 self.in_word[c] = max(self.in_word.get(c, 0.0), x)
         self.encoded = [(c.encode(), c) for c in sorted(self.char)]
         self.memo: dict[str, dict[str, str | None]] = {n: {} for n in READ_AS}
-        self.readable: dict[str, tuple[str, ...]] = {}
+        self.readable: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        self.tokens: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
+        self.gains: dict[tuple[str, int], float] = {}
         self.bounds: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def at_most(self, c: str) -> float:
@@ -111,15 +113,49 @@ class Model:
             self.bounds[c] = np.array(most), np.array([t is not None and t != c for t in to])
         return self.bounds[c]
 
-    def channels_of(self, run: str) -> tuple[str, ...]:
-        """The encodings as which a span may have been read (kept: spans come again)."""
+    def channels_of(self, run: str) -> tuple[frozenset[str], frozenset[str]]:
+        """The encodings as which all of a run may have been read, and those as which a part of it may that makes characters
+        the corpus knows (kept: runs come again)."""
         got = self.readable.get(run)
         if got is None:
             if len(self.readable) > 200_000:
                 self.readable.clear()
-            got = self.readable[run] = tuple(
-                n for n in READ_AS if pieces(run, n, self) or (not run.endswith(" ") and _fits(run + " ", n, self))
-            )
+            fits, known = set(), set()
+            for n in READ_AS:
+                wider = run if run.endswith(" ") else run + " "
+                spans = [run[i:j] for i, j in pieces(run, n, self)]
+                if spans == [run] or _fits(wider, n, self):
+                    fits.add(n)
+                    spans = spans or [wider]
+                if any("\ufffd" in x or self.knows(_to_its_end(x, n, self)) for x in spans):
+                    known.add(n)
+            got = self.readable[run] = frozenset(fits), frozenset(known)
+        return got
+
+    def knows(self, text: str) -> bool:
+        return all(c in self.char or c == "\xa0" for c in text if c > "\x7f")
+
+    def token(self, t: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score of a piece between spaces, the most that each channel of SINGLE can make of it, and whether it changes it."""
+        got = self.tokens.get(t)
+        if got is None:
+            if len(self.tokens) > 100_000:
+                self.tokens.clear()
+                self.gains.clear()
+            most, moved = np.zeros(len(SINGLE)), np.zeros(len(SINGLE), bool)
+            for c in NON_ASCII.findall(t):
+                m, other = self.bound(c)
+                most, moved = most + m, moved | other
+            got = self.tokens[t] = self.score(t), most - self.floor * t.count("\xa0"), moved
+        return got
+
+    def gain(self, t: str, k: int) -> float:
+        """What a channel of SINGLE gains on a piece between spaces, new no-break spaces not counted."""
+        key = (t, k)
+        got = self.gains.get(key)
+        if got is None:
+            to = undo_single(t, *SINGLE[k])
+            got = self.gains[key] = -1e9 if to is None else self.score(to) - self.token(t)[0]
         return got
 
     def context(self, before: str, c: str, after: str) -> float:
@@ -285,6 +321,16 @@ def pieces(run: str, name: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
+def _to_its_end(span: str, name: str, model: Model) -> str:
+    """A span (without lost bytes) that was read as ``name`` so often, or what one reading gives of a longer one."""
+    t = _sure(span, name, model) or span
+    for _ in range(ROUNDS - 1):
+        if RUN.fullmatch(t) is None or (u := _sure(t, name, model)) is None:
+            break
+        t = u
+    return t
+
+
 def undo_utf8(line: str, name: str, model: Model) -> tuple[str, bool] | None:
     """The line with its spans read anew that decode, their UTF-8 bytes having been read as ``name``, and whether all do; None
     if none does. Where sound characters stand beside damaged spans, a span is read anew only if that makes it likelier and
@@ -308,12 +354,10 @@ def undo_utf8(line: str, name: str, model: Model) -> tuple[str, bool] | None:
     for at, end, got in fresh:
         a, z = line[max(0, at - 12) : at], line[end : end + 12]
         t = got[0] if len(got) == 1 else max(got, key=lambda t: (model.score(a + t + z), [-ord(c) for c in t]))
-        for _ in range(0 if whole else ROUNDS - 1):  # beside sound characters a span is read to its end before it is judged
-            if RUN.fullmatch(t) is None or (u := _sure(t, name, model)) is None:
-                break
-            t = u
-        if not whole and (any(c not in model.char and c != "\xa0" for c in t if c > "\x7f") or model.score(a + t + z) <= model.score(a + line[at:end] + z)):
-            continue
+        if not whole:  # beside sound characters a span is read to its end before it is judged
+            t = _to_its_end(t, name, model) if "\ufffd" in line[at:end] else _to_its_end(line[at:end], name, model)
+            if not model.knows(t) or model.score(a + t + z) <= model.score(a + line[at:end] + z):
+                continue
         out += [line[last:at], t]
         last = end
     return ("".join([*out, line[last:]]), whole) if out else None
@@ -342,7 +386,10 @@ def restore(text: str, model: Model) -> str | None:
     looks = [i for i in looks if NON_ASCII.search(seen[i])]
     # UTF-8 read as a single-byte encoding
     best: tuple[float, str, dict[int, str]] = (0.0, "", {})
-    names = {i: {n for m in RUN.finditer(lines[i]) for n in model.channels_of(m[0])} for i in looks}
+    names: dict[int, frozenset[str]] = {}
+    for i in looks:
+        each = [model.channels_of(m[0]) for m in RUN.finditer(lines[i])]
+        names[i] = frozenset.intersection(*(fits for fits, _ in each)).union(*(known for _, known in each))
     some = set().union(*names.values())
     for name in (n for n in READ_AS if n in some):
         gains, done = 0.0, {}
@@ -374,30 +421,24 @@ def restore(text: str, model: Model) -> str | None:
     # one single-byte encoding read as another
     rest = [i for i in looks if i not in fixed and "�" not in seen[i]]
     channels: list[tuple[float, dict[int, str]]] = []
+    # both the score and what a channel changes add up over the pieces between spaces
+    split = {i: [t for t in seen[i].split(" ") if not t.isascii()] for i in rest}
     bounds: dict[int, np.ndarray] = {}
-    scores: dict[int, float] = {}
     for i in rest:
-        most, moved = np.zeros(len(SINGLE)), np.zeros(len(SINGLE), bool)
-        for c, n in Counter(NON_ASCII.findall(seen[i])).items():
-            m, other = model.bound(c)
-            most += n * m
-            moved |= other
-        if "\xa0" in seen[i]:
-            most += -model.floor * seen[i].count("\xa0")
-        scores[i] = model.score(seen[i])
+        parts = [model.token(t) for t in split[i]]
+        most, moved = sum(p[1] for p in parts) - sum(p[0] for p in parts), functools.reduce(np.logical_or, [p[2] for p in parts])
         # no line gains more than its characters can, and one that a channel leaves as it is gains nothing
-        bounds[i] = np.where(moved, np.maximum(most - scores[i], 0), 0)
+        bounds[i] = np.where(moved, np.maximum(most, 0), 0)
     hopeful = np.flatnonzero(sum(bounds.values()) > MARGIN) if bounds else []
     for k in hopeful:
-        read_as, written = SINGLE[k]
         gains, done = 0.0, {}
         for i in (i for i in rest if bounds[i][k] > 0):
-            t = undo_single(seen[i], read_as, written)
-            if t is None:
+            g = sum(model.gain(t, k) for t in split[i])
+            if g <= 0:
                 continue
-            spaces = max(0, t.count("\xa0") - seen[i].count("\xa0"))
-            g = model.score(t) - scores[i] + spaces * model.floor
-            if g > 0 and (whole := undo_single(lines[i], read_as, written)) is not None:
+            t = undo_single(seen[i], *SINGLE[k])
+            g += model.floor * max(0, t.count("\xa0") - seen[i].count("\xa0"))
+            if g > 0 and (whole := undo_single(lines[i], *SINGLE[k])) is not None:
                 gains += g
                 done[i] = whole
         if gains > MARGIN:
