@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
 from pressloom.operators.items import global_index
-from pressloom.runtime import cut
+from pressloom.runtime import cut, salted_join
 
 
 def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +94,7 @@ def similar_pairs(items: DataFrame) -> DataFrame:
     order = cut(tokens.join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "w"))))
     prefix = order.filter(F.col("k") <= F.col("n") - F.ceil(2 * F.col("n") / 3) + 1).select("w", F.col("t").alias("a"), F.col("n").alias("na"))
     other = order.select("w", F.col("t").alias("b"), F.col("n").alias("nb"))
-    cand = prefix.join(other, "w").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    cand = salted_join(other, prefix, ["w"], "b").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     cand = cand.select("a", "b").distinct()
     full = t.select(F.col("t").alias("a"), F.col("tokens").alias("ta"))
     both = cand.join(full, "a").join(t.select(F.col("t").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -102,16 +102,19 @@ def similar_pairs(items: DataFrame) -> DataFrame:
 
 
 def event_components(items: DataFrame) -> DataFrame:
-    """ord, event, n_links: connected components of similar headlines, one row per item. Not the sequential method."""
+    """ord, event (the smallest ord of its items), n_links (of its headline with other headlines), n_items: connected components
+    of similar headlines, one row per item; items without tokens stand alone. Not the sequential method."""
     pairs = cut(similar_pairs(items))
     parts = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = items.select("ord", F.array_sort(title_tokens(F.col("title"))).alias("tokens")).withColumn("t", F.xxhash64("tokens"))
-    return (
-        rows.join(parts.withColumnRenamed("node", "t"), "t", "left")
-        .join(links, "t", "left")
-        .select("ord", F.coalesce("component", "t").alias("event"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    rows = items.select("ord", F.array_sort(title_tokens(F.col("title"))).alias("tokens"))
+    rows = rows.withColumn("t", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("alone"), "ord")))
+    parted = cut(
+        rows.join(parts.withColumnRenamed("node", "t"), "t", "left").join(links, "t", "left")
+        .select("ord", F.coalesce("component", "t").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    )
+    events = parted.groupBy("c").agg(F.min("ord").alias("event"), F.count(F.lit(1)).alias("n_items"))
+    return salted_join(parted, events, ["c"], "ord").select("ord", "event", "n_links", "n_items")
 
 
 def missing_rank(rows: DataFrame) -> DataFrame:

@@ -140,18 +140,18 @@ def dedupe_ordered(items: DataFrame) -> DataFrame:
     former winner and its list, and a winner without date takes the loser's.
 
     The fold needs only the rows that change it: the first row of each (key, source, published null or not) and the
-    rows that are longer than all before them. Those are found by aggregates and a running maximum, so a hot key is
-    reduced to at most (distinct sources x 2 + takeovers) rows before it is folded.
+    rows that are longer than all before them. The latter are first rows of their (key, length), so partial aggregates come
+    before any window: a hot key is reduced to its different lengths, then to (distinct sources x 2 + takeovers) rows.
     """
     k = keyed(items).select(
         "key", "ord", F.coalesce("source", F.lit("")).alias("source"), "published", F.length(body(F.col("text"), F.col("summary"))).alias("len")
     )
+    of_length = k.groupBy("key", "len").agg(F.min(F.struct("ord", "source", "published")).alias("x")).select("key", "len", "x.*")
     before = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    marked = k.withColumn("taller", F.col("len") > F.coalesce(F.max("len").over(before), F.lit(-1)))
-    firsts = marked.filter(~F.col("taller")).groupBy("key", "source", F.col("published").isNull().alias("undated")).agg(
-        F.min(F.struct("ord", "len", "published")).alias("r")
-    )
-    rows = marked.filter("taller").select("key", F.struct("ord", "len", "source", "published").alias("r")).unionByName(
+    taller = of_length.withColumn("most", F.coalesce(F.max("len").over(before), F.lit(-1))).filter("len > most").drop("most")
+    losers = k.join(taller.select("key", "ord"), ["key", "ord"], "left_anti")
+    firsts = losers.groupBy("key", "source", F.col("published").isNull().alias("undated")).agg(F.min(F.struct("ord", "len", "published")).alias("r"))
+    rows = taller.select("key", F.struct("ord", "len", "source", "published").alias("r")).unionByName(
         firsts.select("key", F.struct("r.ord", "r.len", "source", "r.published").alias("r"))
     )
     # a loser between two takeovers matters to the list of the winner of its time: keep each (winner, source) first

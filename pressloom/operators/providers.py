@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.operators.items import batches
+from pressloom.operators.reports import shrink
 from pressloom.operators.state import probe
 
 #: What a provider gets: up to a batch of payloads (dicts with index_in_batch). What it gives: verdicts by that index.
@@ -59,3 +61,42 @@ def triage(
     return hits.unionByName(fresh), got.filter("error is not null").select("batch", "error")
 
 
+#: Gets the cluster payloads, gives groups: [{headline, topic, importance, members: [index]}].
+Grouper = Callable[[list[dict[str, Any]]], list[dict[str, Any]]]
+
+
+def grouped(selected: list[dict[str, Any]], grouper: Grouper) -> list[dict[str, Any]]:
+    """Clusters (headline, topic, importance, members) of the selected items (title, source, topic, importance, one_liner, in
+    rank order; a selection is cut to the digest's size), by importance and size.
+
+    Members out of range or already taken are ignored; items that no group names stand alone, and so do all of them if
+    the call fails. A single item is not sent."""
+    alone = lambda i: {"headline": selected[i]["title"], "topic": selected[i]["topic"], "importance": selected[i]["importance"], "members": [i]}
+    if len(selected) < 2:
+        return [alone(i) for i in range(len(selected))]
+    try:
+        reply = grouper([{"index": i, **{k: s.get(k) for k in ("title", "source", "topic", "importance", "one_liner")}} for i, s in enumerate(selected)])
+    except Refused:
+        raise
+    except Exception:
+        return [alone(i) for i in range(len(selected))]
+    out, taken = [], set()
+    for g in reply:
+        members = [i for i in dict.fromkeys(g.get("members") or []) if isinstance(i, int) and 0 <= i < len(selected) and i not in taken]
+        if members:
+            taken.update(members)
+            first = alone(members[0])
+            out.append({k: g.get(k) or first[k] for k in ("headline", "topic", "importance")} | {"members": members})
+    out += [alone(i) for i in range(len(selected)) if i not in taken]
+    return sorted(out, key=lambda c: (-int(c["importance"] or 0), -len(c["members"])))
+
+
+def written(payload_of: Callable[[int], dict], writer: Callable[[str], str], fallback: Callable[[], str], per_item: int = 8000, limit: int = 500_000) -> str:
+    """The digest by ``writer`` from the payload as JSON, its bodies halved until it fits; ``fallback`` if the call fails."""
+    size = shrink(lambda n: len(json.dumps(payload_of(n), ensure_ascii=False)), per_item, limit)
+    try:
+        return writer(json.dumps(payload_of(size), ensure_ascii=False))
+    except Refused:
+        raise
+    except Exception:
+        return fallback()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import html
 import json
+import re
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pressloom.functions.text import body, excerpt
+from pressloom.operators.items import global_index
+
 # Fixed value: display order of topics and their headings.
 TOPIC_HEADINGS = {
     "models-and-releases": "Models and releases",
@@ -68,6 +74,101 @@ def topic_sections(clusters: DataFrame) -> DataFrame:
     return got.select(F.row_number().over(w).alias("section"), "topic", F.coalesce(F.try_element_at(headings, F.col("topic")), F.col("topic")).alias("heading"), "ranks")
 
 
+def since(explicit: str | None, days: int, now: datetime) -> datetime:
+    """Where a run's window begins: an explicit ISO date or time (UTC if it names no zone), else ``days`` before ``now``."""
+    if not explicit:
+        return now - timedelta(days=days)
+    try:
+        t = datetime.fromisoformat(explicit)
+    except ValueError as e:
+        raise ValueError(f"not an ISO date: {explicit!r}") from e
+    return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+
+def listing(items: DataFrame) -> DataFrame:
+    """position, line: the items newest first (undated last, ties by ord), as date, source (28 characters) and title (90)."""
+    date = F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("undated"))
+    line = F.concat(date, F.lit("  "), F.rpad(F.left("source", F.lit(28)), 28, " "), F.lit("  "), F.left("title", F.lit(90)))
+    got = global_index(items.select("ord", "published", line.alias("line")), [F.desc_nulls_last("published"), F.col("ord")])
+    return got.select((F.col("index") + 1).alias("position"), "line")
+
+
+def engagement_of(*names: str) -> Column:
+    """An object of those numbers that are there, as JSON; null if none is."""
+    return F.nullif(F.to_json(F.struct(*names)), F.lit("{}"))
+
+
+def coverage_entry(per_item: int) -> Column:
+    """What the digest's writer gets of an item: title, source, url, published, one_liner, paywalled, also_seen_in, engagement, body."""
+    return F.struct(
+        "title", "source", "url", F.date_format("published", "yyyy-MM-dd").alias("published"), "one_liner", F.coalesce("paywalled", F.lit(False)).alias("paywalled"),
+        F.coalesce("also_seen_in", F.array().cast("array<string>")).alias("also_seen_in"), engagement_of("points", "score", "comments").alias("engagement"),
+        excerpt(body(F.col("text"), F.col("summary")), per_item).alias("body"),
+    )
+
+
+def digest_stories(members: DataFrame, ranked: DataFrame, per_item: int) -> DataFrame:
+    """rank, headline, topic, importance, coverage (in the cluster's order) of clusters already cut to the digest's size.
+
+    ``members``: window, cluster, position and the items' columns; ``ranked``: window, cluster, importance, rank."""
+    each = members.join(F.broadcast(ranked.select("window", "cluster", "rank", F.col("importance").alias("__importance"))), ["window", "cluster"])
+    entry = F.struct("position", "topic", coverage_entry(per_item).alias("entry"))
+    got = each.groupBy("rank").agg(F.max("__importance").alias("importance"), F.array_sort(F.collect_list(entry)).alias("e"))
+    first = F.get("e", F.lit(0))
+    return got.select("rank", first["entry"]["title"].alias("headline"), first["topic"].alias("topic"), "importance", F.transform("e", lambda x: x["entry"]).alias("coverage"))
+
+
+def payload(stories: list[dict], newsletters: list[dict], counts: dict, sources: list[str], start: str, end: str, most: int) -> dict:
+    """The writer's input."""
+    return {
+        "week": {"start": start, "end": end}, "requested_top_stories": most, "counts": counts, "sources": sources, "stories": stories, "newsletters": newsletters,
+    }
+
+
+def to_html(markdown: str, footer: str = "") -> str:
+    """The digest's Markdown (headings, lists, links, bold, emphasis, paragraphs) as a self-contained page."""
+    out, depth = [], 0
+
+    def inline(t: str) -> str:
+        t = html.escape(t, quote=False)
+        t = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", lambda m: f'<a href="{m[2].replace(chr(34), "%22")}">{m[1]}</a>', t)
+        t = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", t)
+        return re.sub(r"(?<!\w)_(.+?)_(?!\w)", r"<em>\1</em>", t)
+
+    for line in markdown.split("\n"):
+        item = re.match(r"( *)- (.*)", line)
+        level = (len(item[1]) // 2 + 1) if item else depth if line.startswith("  ") and line.strip() else 0
+        while depth > level:
+            out.append("</ul>")
+            depth -= 1
+        while depth < level:
+            out.append("<ul>")
+            depth += 1
+        head = re.match(r"(#{1,6}) (.*)", line)
+        if item:
+            out.append(f"<li>{inline(item[2])}</li>")
+        elif head:
+            out.append(f"<h{len(head[1])}>{inline(head[2])}</h{len(head[1])}>")
+        elif line.strip():
+            out.append(f"<p>{inline(line.strip())}</p>")
+    out += ["</ul>"] * depth
+    foot = f"<footer>{html.escape(footer, quote=False)}</footer>" if footer else ""
+    return f"<!doctype html>\n<html><head><meta charset='utf-8'><style>body{{max-width:44em;margin:auto;font-family:sans-serif}}</style></head><body>{''.join(out)}{foot}</body></html>"
+
+
+def write_week(spark: SparkSession, folder: str, week: str, markdown: str, footer: str = "") -> list[str]:
+    """Write <week>.md and <week>.html (any file system Spark knows) and return their paths."""
+    paths = []
+    for kind, text in (("md", markdown), ("html", to_html(markdown, footer))):
+        path = f"{folder.rstrip('/')}/{week}.{kind}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        paths.append(path)
+    return paths
+
+
 def shrink(measure: Callable[[int], int], start: int, limit: int = 500_000, floor: int = 800, passes: int = 4) -> int:
     """Characters per item: halved (not below ``floor``) until ``measure`` fits ``limit``, ``passes`` tries at most."""
     n = start
@@ -107,8 +208,6 @@ def render(clusters: list[dict], newsletters: list[dict], n_sources: int) -> str
 
 def find_json(reply: str) -> object | None:
     """The JSON value of a reply: the whole, else a fenced block, else from the first to the last brace; None if neither parses."""
-    import re
-
     for text in [reply, *re.findall(r"```(?:json)?\s*(.*?)```", reply, re.S), reply[reply.find("{") : reply.rfind("}") + 1]]:
         try:
             return json.loads(text.strip())

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pressloom.functions import scoring, text, urls
 from pressloom.functions.html import PAYWALL, looks_paywalled
 from pressloom.operators import cluster, items as ops, reports, state
-from pressloom.runtime import small_side, table
+from pressloom.plans.timestamp_queries import p1_found as found
+from pressloom.runtime import cut, small_side, table
 
 #: The reports' fixed present.
 NOW = "2026-06-30 00:00:00"
@@ -35,7 +36,7 @@ def now():
 
 
 def item_view(spark: SparkSession, d: str) -> DataFrame:
-    """The items as Items: ord is item_id; published is the time of fetching, which is clean (p1 has the written dates)."""
+    """The items as Items: ord is item_id; published is the time of fetching, which SQL can read too (``dated_view`` has p1's dates)."""
     number = lambda k: F.get_json_object("extra", f"$.{k}").try_cast("long").alias(k)
     return table(spark, d, "items").select(
         F.col("item_id").alias("ord"), "source", "source_type", text.tidy(F.col("title")).alias("title"), "url", F.col("fetched_at").cast("timestamp").alias("published"),
@@ -44,6 +45,12 @@ def item_view(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def dated_view(spark: SparkSession, d: str) -> DataFrame:
+    """The item view with the dates that the feeds wrote, as p1 normalises them; items without a readable one are undated."""
+    written = found(spark, d).filter("field = 'published'").select(F.col("item_id").alias("ord"), F.timestamp_micros("utc_us").alias("published"))
+    return item_view(spark, d).drop("published").join(written, "ord", "left")
+
+
 _TRIM = r"regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _TRACKING = f"regexp_matches(n, '(?i)^(?:{urls.TRACKING})$')"
 _ENC = "replace(url_encode({0}), '%20', '+')"
@@ -52,7 +59,7 @@ _DEC = "url_decode(replace({0}, '+', ' '))"
 V = rf"""
 WITH i AS (
   SELECT item_id AS ord, source, source_type, {_TRIM.format('title')} AS title, url, fetched_at AS published, {_TRIM.format('summary')} AS summary, {_TRIM.format('text')} AS text,
-    try_cast(json_extract_string(extra, '$.points') AS BIGINT) AS points, try_cast(json_extract_string(extra, '$.score') AS BIGINT) AS score,
+    try_cast(json_extract_string(extra, '$.points') AS BIGINT) AS points, try_cast(json_extract_string(extra, '$.score') AS BIGINT) AS score, try_cast(json_extract_string(extra, '$.comments') AS BIGINT) AS comments,
     coalesce(json_extract_string(extra, '$.paywalled') = 'true', false) AS paywalled, coalesce(json_extract_string(extra, '$.authenticated') = 'true', false) AS authenticated,
     regexp_extract({_TRIM.format('url')}, '(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'authority', 'path', 'query']) AS u
   FROM items
@@ -179,9 +186,22 @@ def dedupe_richest(spark, d):
     return ops.dedupe_sets(item_view(spark, d))
 
 
-@query()
+#: The sequential fold of each key's copies: longer bodies take over, lists restart with the former winner, dates are kept.
+FOLD = """, o AS (SELECT key, ord, coalesce(source, '') AS source, published, length(body) AS len, row_number() OVER (PARTITION BY key ORDER BY ord) AS r FROM k),
+fold(key, r, ord, source, published, len, also) AS (
+  SELECT key, r, ord, source, published, len, []::VARCHAR[] FROM o WHERE r = 1
+  UNION ALL SELECT o.key, o.r, CASE WHEN o.len > f.len THEN o.ord ELSE f.ord END, CASE WHEN o.len > f.len THEN o.source ELSE f.source END,
+    CASE WHEN o.len > f.len THEN coalesce(o.published, f.published) ELSE coalesce(f.published, o.published) END, greatest(o.len, f.len),
+    CASE WHEN o.len > f.len THEN list_filter(list_concat(CASE WHEN list_contains(f.also, f.source) THEN [] ELSE [f.source] END, f.also), lambda x: x <> o.source)
+      WHEN o.source = f.source OR list_contains(f.also, o.source) THEN f.also ELSE list_append(f.also, o.source) END
+  FROM fold f JOIN o ON o.key = f.key AND o.r = f.r + 1
+), folded AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC) = 1)"""
+VR = V.replace("WITH i AS", "WITH RECURSIVE i AS")
+
+
+@query(VR + FOLD + " SELECT key, ord, source, epoch_us(published) AS published_us, also AS also_seen_in FROM folded")
 def dedupe_ordered(spark, d):
-    """Order-exact provenance and date backfill (a sequential fold; tested against brute force)."""
+    """Order-exact provenance and date backfill (a sequential fold)."""
     got = ops.dedupe_ordered(item_view(spark, d))
     return got.select("key", "ord", "source", F.unix_micros("published").alias("published_us"), "also_seen_in")
 
@@ -203,10 +223,13 @@ def seen_lookup(spark, d):
     return ops.seen(item_view(spark, d), ledger_view(spark, d)).select("ord")
 
 
-@query(f"WITH {LEDGER_SQL} SELECT key, min(seen_id) AS seen_id FROM ledger WHERE key IS NOT NULL AND key <> '' GROUP BY key")
+@query(f"""WITH {LEDGER_SQL} SELECT key, min(seen_id) AS seen_id FROM ledger WHERE key <> '' AND first_seen >= '2026-01-01'
+  AND key NOT IN (SELECT key FROM ledger WHERE key IS NOT NULL AND first_seen < '2026-01-01') GROUP BY key""")
 def ledger_insert_ignore(spark, d):
-    rows = ledger_view(spark, d).filter("key <> ''").select("key", "seen_id")
-    return state.insert_or_ignore(rows.limit(0), rows, [F.col("seen_id")])
+    """The rows of 2026 put into a ledger that holds all earlier ones."""
+    rows = ledger_view(spark, d).filter("key <> ''").select("key", "seen_id", "first_seen")
+    new = state.insert_or_ignore(rows.filter("first_seen < '2026-01-01'"), rows.filter("first_seen >= '2026-01-01'"), [F.col("seen_id")])
+    return new.select("key", "seen_id")
 
 
 LATEST_SQL = """latest AS (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY judged_at DESC NULLS LAST, coalesce(importance, -1) DESC, coalesce(topic, '') DESC,
@@ -277,32 +300,69 @@ def _sql_any(expr: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({expr}, '{t}')" for t in terms) + ")"
 
 
-_SCORED = (
-    _SCORES
-    + f""", s AS (SELECT *, (source_type = 'arxiv' OR regexp_matches(source, '(?i)(^|[^\\p{{L}}\\p{{N}}_\\-])(ai|ml|llm)($|[^\\p{{L}}\\p{{N}}_\\-])')) AS topical,
+def _scored(base: str, also: str = "0") -> str:
+    """``scored``: the items of ``base`` (a WITH clause that ends with n) with their verdicts."""
+    return (
+        base
+        + f""", s AS (SELECT *, (source_type = 'arxiv' OR regexp_matches(source, '(?i)(^|[^\\p{{L}}\\p{{N}}_\\-])(ai|ml|llm)($|[^\\p{{L}}\\p{{N}}_\\-])')) AS topical,
   greatest(coalesce(points, 0), coalesce(score, 0)) AS engagement FROM n),
 scored AS (SELECT *, (source_type = 'arxiv' OR title_strong >= 1 OR title_weak >= 2 OR strong >= 2 OR (strong >= 1 AND weak >= 1) OR (weak >= 2 AND title_weak >= 1)
     OR (topical AND (title_weak >= 1 OR strong >= 1))) AS ai_related,
-  greatest(1, least(5, 2 + (strong >= 2)::INT + (event >= 1)::INT + (engagement >= 500)::INT - {_sql_any('lt', LX.low_value)}::INT
+  greatest(1, least(5, 2 + (strong >= 2)::INT + (event >= 1)::INT + (engagement >= 500)::INT + ({also} >= 1)::INT - {_sql_any('lt', LX.low_value)}::INT
     - coalesce((epoch_us(TIMESTAMP '{NOW}') - epoch_us(published)) / 86400000000.0 > 10, false)::INT)) AS importance,
   CASE WHEN source_type = 'arxiv' THEN 'research' """
-    + " ".join(f"WHEN {_sql_any('h', t.split(', '))} THEN '{name}'" for name, t in LX.topics.items())
-    + " ELSE 'other' END AS topic FROM s)"
+        + " ".join(f"WHEN {_sql_any('h', t.split(', '))} THEN '{name}'" for name, t in LX.topics.items())
+        + " ELSE 'other' END AS topic FROM s)"
+    )
+
+
+_SCORED = _scored(_SCORES)
+#: A run's order of steps: copies merged, newsletters apart, covered stories dropped, then scored with the merged copies' sources.
+_RUN = _scored(
+    VR
+    + FOLD
+    + f""", {LEDGER_SQL}, fresh AS (SELECT k.* EXCLUDE (published, source), f.published, f.source, len(f.also) AS n_also FROM k JOIN folded f USING (ord)
+  WHERE k.source_type <> 'imap' AND k.key NOT IN (SELECT key FROM ledger WHERE key IS NOT NULL)),
+c AS (SELECT *, lower(title) AS lt, lower(title || chr(10) || left(summary, 1500)) AS h FROM fresh),
+n AS (SELECT *, {_sql_count('lt', LX.strong)} AS title_strong, {_sql_count('lt', LX.weak)} AS title_weak, {_sql_count('h', LX.strong)} AS strong, {_sql_count('h', LX.weak)} AS weak,
+  {_sql_count('lt', LX.event)} AS event FROM c)""",
+    "n_also",
 )
 
 
-def scored_items(spark: SparkSession, d: str) -> DataFrame:
+def scored(items: DataFrame, n_also) -> DataFrame:
     c = F.col
-    return item_view(spark, d).withColumns(
+    return items.withColumns(
         {
             "engagement": scoring.engagement(c("points"), c("score")),
             "ai_related": scoring.related(c("title"), c("summary"), c("source"), c("source_type"), LX),
-            "importance": scoring.importance(c("title"), c("summary"), scoring.engagement(c("points"), c("score")), F.lit(0), c("published"), now(), LX),
+            "importance": scoring.importance(c("title"), c("summary"), scoring.engagement(c("points"), c("score")), n_also, c("published"), now(), LX),
             "topic": scoring.topic(scoring.haystack(c("title"), c("summary")), c("source_type"), LX),
         }
     )
 
 
+def scored_items(spark: SparkSession, d: str) -> DataFrame:
+    return scored(item_view(spark, d), F.lit(0))
+
+
+def run_items(spark: SparkSession, d: str, view: Callable[[SparkSession, str], DataFrame] = item_view) -> DataFrame:
+    """The stories of a run, scored: copies merged, newsletters apart, covered ones dropped."""
+    i = view(spark, d)
+    merged = ops.dedupe_ordered(i).select("ord", "source", "published", "also_seen_in")
+    kept = ops.lanes(i.drop("source", "published").join(merged, "ord"))[0]
+    return scored(ops.drop_seen(kept, ledger_view(spark, d)), F.size("also_seen_in"))
+
+
+@query(_RUN + """ SELECT ord, importance, topic, n_also, row_number() OVER (ORDER BY importance DESC, engagement DESC, ord) AS rank
+  FROM scored WHERE ai_related AND importance >= 2""")
+def run_selection(spark, d):
+    """A run's selected stories (on topic, importance 2 and more), in rank order."""
+    i = run_items(spark, d).filter("ai_related AND importance >= 2").select("ord", "importance", "engagement", "topic", F.size("also_seen_in").cast("long").alias("n_also"))
+    got = ops.global_index(i, [F.desc("importance"), F.desc("engagement"), F.col("ord")])
+    return got.select("ord", "importance", "topic", "n_also", (F.col("index") + 1).alias("rank"))
+
+
 @query(_SCORED + " SELECT ord, ai_related, importance, topic, engagement FROM scored")
 def scores(spark, d):
     return scored_items(spark, d).select("ord", "ai_related", "importance", "topic", "engagement")
@@ -398,29 +458,94 @@ def similar_pairs(spark, d):
     return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
 
 
-def weekly_members(spark: SparkSession, d: str) -> DataFrame:
-    i = scored_items(spark, d).filter("ai_related AND importance >= 2").withColumn("window", text.week_label(F.col("published")))
-    c = cluster.leader_clusters(i.withColumnsRenamed({"importance": "rank_a", "engagement": "rank_b"}), "window")
-    return c.join(i.select("ord", "source", "importance", "topic"), "ord")
+def weekly_members(spark: SparkSession, d: str, view: Callable[[SparkSession, str], DataFrame] = item_view) -> DataFrame:
+    """The selected stories of a run with their clusters; written once, since reports use it several times."""
+    i = run_items(spark, d, view).filter("ai_related AND importance >= 2").withColumn("window", F.coalesce(text.week_label(F.col("published")), F.lit("")))
+    i = cut(i.drop("key"))
+    c = cluster.leader_clusters(i.withColumnsRenamed({"importance": "rank_a", "engagement": "rank_b"}), "window").drop("window")
+    return cut(c.join(i, "ord"))
 
 
-@query()
+#: The sequential leader method: items in rank order join the first cluster whose signature is similar, or found one.
+_LEADER = _RUN + rf""", sel AS (SELECT *, coalesce(strftime(published, '%G-W%V'), '') AS win, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'),
+    lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS tokens FROM scored WHERE ai_related AND importance >= 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY importance DESC, engagement DESC, ord) AS r FROM sel),
+step(win, r, ord, cl, sigs) AS (
+  SELECT win, r, ord, 1::BIGINT, [tokens] FROM q WHERE r = 1
+  UNION ALL
+  SELECT win, r, ord, CASE WHEN hit = 0 THEN len(sigs) + 1 ELSE hit END,
+    CASE WHEN hit = 0 THEN list_append(sigs, tokens) ELSE list_transform(sigs, lambda x, i: CASE WHEN i = hit THEN list_distinct(list_concat(x, tokens)) ELSE x END) END
+  FROM (SELECT q.win, q.r, q.ord, q.tokens, step.sigs, coalesce(list_position(list_transform(step.sigs, lambda x: len(q.tokens) > 0 AND len(x) > 0
+      AND (2 * len(list_intersect(x, q.tokens)) >= len(list_distinct(list_concat(x, q.tokens)))
+        OR (10 * len(list_intersect(x, q.tokens)) >= 8 * least(len(x), len(q.tokens)) AND len(list_intersect(x, q.tokens)) >= 3))), true), 0) AS hit
+    FROM step JOIN q ON q.win = step.win AND q.r = step.r + 1)
+), members AS (SELECT step.win AS "window", step.ord, step.cl - 1 AS cluster, step.r - 1 AS position, q.* EXCLUDE (win, ord, r, tokens) FROM step JOIN q USING (win, ord))"""
+
+
+@query(_LEADER + ' SELECT "window", ord, cluster, position FROM members')
 def leader_clusters(spark, d):
-    """The exact sequential clusters of each week (tested against brute force)."""
+    """The exact sequential clusters of each week."""
     return weekly_members(spark, d).select("window", "ord", "cluster", "position")
 
 
-@query()
+_RANKED = _LEADER + """, ranked AS (SELECT "window", cluster, max(importance) AS importance, count(*) AS size, arg_min(ord, position) AS founder_ord,
+  row_number() OVER (PARTITION BY "window" ORDER BY max(importance) DESC, count(*) DESC, cluster) AS rank FROM members GROUP BY "window", cluster)"""
+
+
+@query(_RANKED + " SELECT * FROM ranked")
 def cluster_rank(spark, d):
     return cluster.rank_clusters(weekly_members(spark, d)).select("window", "cluster", "importance", "size", "founder_ord", "rank")
 
 
-@query()
+@query(_LEADER + """, firsts AS (SELECT "window", cluster, source, min(position) AS p FROM members GROUP BY ALL)
+SELECT "window", cluster, list(source ORDER BY p, source) AS sources FROM firsts GROUP BY "window", cluster""")
 def cluster_sources(spark, d):
     return cluster.ordered_sources(weekly_members(spark, d))
 
 
-@query()
+@query(_LEADER + f""" SELECT position AS index, title, source, topic, importance, CASE WHEN f <> '' AND length(f) <= 220 THEN f WHEN length(t) <= 220 THEN t
+    ELSE regexp_replace(left(t, 220), ' [^ ]*$', '') || '…' END AS one_liner, "window"
+  FROM (SELECT *, regexp_extract(left(t, 300), '^(.*?[.!?]) ', 1) AS f FROM (SELECT *, {_ONE.format("CASE WHEN summary <> '' THEN summary ELSE text END")} AS t FROM members))""")
+def cluster_payload(spark, d):
+    """What a grouping model is sent of each week's selection."""
+    line = text.first_sentence(F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("text")))
+    return weekly_members(spark, d).select(F.col("position").alias("index"), "title", "source", "topic", "importance", line.alias("one_liner"), "window")
+
+
+@query(_RANKED + """ SELECT m."window", r.rank, m.position, m.ord, m.title, m.url, strftime(m.published, '%Y-%m-%d') AS published, m.paywalled, m.n_also,
+    m.points, m.score, (m.points IS NOT NULL OR m.score IS NOT NULL OR m.comments IS NOT NULL) AS has_engagement,
+    CASE WHEN length(m.body) <= 800 THEN m.body ELSE regexp_replace(left(m.body, 800), '(?s) [^ ]*$', '') || ' […truncated from ' || length(m.body) || ' chars]' END AS body
+  FROM members m JOIN ranked r USING ("window", cluster) WHERE r.rank <= 36""")
+def digest_coverage(spark, d):
+    """The digest payload's coverage, one row an item: the 36 leading clusters of each week (the digest's cut)."""
+    members = weekly_members(spark, d)
+    ranked = cluster.rank_clusters(members).filter("rank <= 36").select("window", "cluster", "rank")
+    e = members.withColumn("one_liner", F.lit(None).cast("string")).join(ranked, ["window", "cluster"]).withColumn("e", reports.coverage_entry(800))
+    return e.select(
+        "window", "rank", "position", "ord", "e.title", "e.url", "e.published", "e.paywalled", F.size("e.also_seen_in").cast("long").alias("n_also"), "points", "score",
+        F.col("e.engagement").isNotNull().alias("has_engagement"), "e.body",
+    )
+
+
+@query(_RANKED + """ SELECT (SELECT count(*) FROM items) AS candidates_collected, (SELECT count(*) FROM members) AS stories_after_triage, (SELECT count(*) FROM ranked) AS clusters,
+  (SELECT count(DISTINCT source) FROM items) AS sources, (SELECT count(*) FROM fresh) AS n_fresh""")
+def digest_counts(spark, d):
+    """Counts of a run down to its clusters."""
+    m = weekly_members(spark, d)
+    got = m.agg(F.count(F.lit(1)).alias("stories_after_triage"), F.countDistinct("window", "cluster").alias("clusters")).withColumn("j", F.lit(1))
+    raw = table(spark, d, "items").agg(F.count(F.lit(1)).alias("candidates_collected"), F.countDistinct("source").alias("sources")).withColumn("j", F.lit(1))
+    fresh = run_items(spark, d).agg(F.count(F.lit(1)).alias("n_fresh")).withColumn("j", F.lit(1))
+    return raw.join(got, "j").join(fresh, "j").drop("j")  # three single rows
+
+
+@query(_TOKENS.replace("WITH i AS", "WITH RECURSIVE i AS") + """, x AS (SELECT DISTINCT tokens, len(tokens) AS n FROM t WHERE len(tokens) > 0), e AS (SELECT tokens, n, unnest(tokens) AS w FROM x),
+j AS (SELECT a.tokens AS ta, b.tokens AS tb, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.w = b.w AND a.tokens <> b.tokens GROUP BY ALL),
+sim AS (SELECT ta, tb FROM j WHERE 2 * shared >= na + nb - shared OR (10 * shared >= 8 * least(na, nb) AND shared >= 3)),
+reach(tokens, other) AS (SELECT tokens, tokens FROM x UNION SELECT r.tokens, s.tb FROM reach r JOIN sim s ON s.ta = r.other),
+ord_of AS (SELECT tokens, min(ord) AS first, count(*) AS n FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+ev AS (SELECT r.tokens, min(o.first) AS event, sum(o.n) AS n_items FROM reach r JOIN ord_of o ON o.tokens = r.other GROUP BY r.tokens),
+l AS (SELECT ta AS tokens, count(*) AS n_links FROM sim GROUP BY ta)
+SELECT ord, coalesce(event, ord) AS event, coalesce(n_links, 0) AS n_links, coalesce(n_items, 1)::BIGINT AS n_items FROM t LEFT JOIN ev USING (tokens) LEFT JOIN l USING (tokens)""")
 def event_components(spark, d):
     """Connected components of similar headlines over all items: the scalable relative of the leader method."""
     return cluster.event_components(item_view(spark, d))
@@ -445,11 +570,24 @@ def subscription_health(spark, d):
     return reports.subscription_health(i.withColumn("has_login", F.coalesce("authenticated", F.lit(False))))
 
 
-@query(f"WITH {LATEST_SQL}, r AS (SELECT topic, row_number() OVER (ORDER BY importance DESC NULLS LAST, item_id) AS rank FROM latest QUALIFY rank <= 36) SELECT topic, list_sort(list(rank)) AS ranks FROM r GROUP BY topic")
+_PLACE = "coalesce(list_position([" + ", ".join(f"'{t}'" for t in reports.TOPIC_HEADINGS) + "], topic), 10000)"
+_HEAD = "CASE " + " ".join(f"WHEN topic = '{t}' THEN '{h}'" for t, h in reports.TOPIC_HEADINGS.items()) + " ELSE topic END"
+
+
+@query(f"""WITH {LATEST_SQL}, r AS (SELECT topic, row_number() OVER (ORDER BY importance DESC NULLS LAST, item_id) AS rank FROM latest QUALIFY rank <= 36),
+g AS (SELECT topic, list_sort(list(rank)) AS ranks, min(rank) AS first FROM r GROUP BY topic)
+SELECT row_number() OVER (ORDER BY {_PLACE}, first) AS section, topic, {_HEAD} AS heading, ranks FROM g""")
 def digest_topics(spark, d):
-    """The 36 leading items (the digest's cut) by topic."""
+    """The 36 leading items (the digest's cut) by topic, in the order of display."""
     v = ops.top(latest_verdicts(spark, d), 36, [F.desc_nulls_last("importance"), F.col("item_id")])
-    return reports.topic_sections(v.withColumn("rank", F.col("rank").cast("long"))).select("topic", "ranks")
+    return reports.topic_sections(v.withColumn("rank", F.col("rank").cast("long"))).select("section", "topic", "heading", "ranks")
+
+
+@query(V + """ SELECT row_number() OVER (ORDER BY published DESC NULLS LAST, ord) AS position,
+  coalesce(strftime(published, '%Y-%m-%d'), 'undated') || '  ' || rpad(left(source, 28), 28, ' ') || '  ' || left(title, 90) AS line FROM k""")
+def fetch_listing(spark, d):
+    """The console listing: newest first, undated last."""
+    return reports.listing(item_view(spark, d))
 
 
 @query(V + f", {LEDGER_SQL}" + """ SELECT (SELECT count(*) FROM k) AS n_raw, (SELECT count(DISTINCT key) FROM k) AS n_unique, (SELECT count(*) FROM k WHERE source_type <> 'imap') AS n_stories,
@@ -485,12 +623,8 @@ def weekly_digest(spark, d):
 
 @query("SELECT source_type, count(*) AS n_items, count(DISTINCT source) AS n_sources FROM items GROUP BY source_type")
 def lane_counts(spark, d):
-    """Sources' items brought together, by type."""
-    kinds = [r[0] for r in table(spark, d, "sources").select("source_type").distinct().limit(100).collect()]
-    i = table(spark, d, "items").select("source", "source_type")
-    return ops.union([i.filter(F.col("source_type") == k) for k in sorted(kinds)]).groupBy("source_type").agg(
-        F.count(F.lit(1)).alias("n_items"), F.countDistinct("source").alias("n_sources")
-    )
+    """Items and sources of each type."""
+    return table(spark, d, "items").groupBy("source_type").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("source").alias("n_sources"))
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-05')) AS week_us, count(*) AS n FROM events GROUP BY 1, 2")
@@ -503,29 +637,25 @@ def event_weeks(spark, d):
 
 @query()
 def digest_lines(spark, d):
-    """The last week's digest as numbered Markdown lines: at most 36 clusters and 12 newsletters reach the driver (the cut)."""
-    members = weekly_members(spark, d)
-    last = members.agg(F.max("window")).first()[0]
-    members = members.filter(F.col("window") == (last or ""))
+    """The last week's digest, by the dates that the feeds wrote, as numbered Markdown lines: at most 36 clusters and 12
+    newsletters reach the driver (the cut)."""
+    members = weekly_members(spark, d, dated_view).filter(F.col("published") < now())
+    last = members.agg(F.max("window")).first()[0] or ""
+    members = members.filter(F.col("window") == last)
     ranked = cluster.rank_clusters(members).filter("rank <= 36")
-    view = item_view(spark, d)
-    heads = (
-        ranked.join(cluster.ordered_sources(members), ["window", "cluster"])
-        .join(view.select(F.col("ord").alias("founder_ord"), F.col("title").alias("headline"), "url", text.first_sentence(text.body(F.col("summary"), F.col("text"))).alias("one_liner")), "founder_ord")
-        .join(members.select(F.col("ord").alias("founder_ord"), "topic"), "founder_ord")
-    )
-    also = members.filter("position > 0").join(view.select("ord", "url"), "ord").withColumn(
-        "n", F.row_number().over(Window.partitionBy("window", "cluster").orderBy("position"))
+    line = text.first_sentence(text.body(F.col("summary"), F.col("text")))
+    heads = ranked.join(cluster.ordered_sources(members), ["window", "cluster"]).join(
+        members.select(F.col("ord").alias("founder_ord"), F.col("title").alias("headline"), "url", "topic", line.alias("one_liner")), "founder_ord"
     )
-    also = also.filter("n between 2 and 3").groupBy("window", "cluster").agg(F.array_sort(F.collect_list(F.struct("n", "source", "url"))).alias("also"))
+    also = members.filter("position > 0").withColumn("n", F.row_number().over(Window.partitionBy("window", "cluster").orderBy("position")))
+    also = also.filter("n <= 2").groupBy("window", "cluster").agg(F.array_sort(F.collect_list(F.struct("n", "source", "url"))).alias("also"))
     rows = heads.join(also, ["window", "cluster"], "left").orderBy("rank").collect()
     clusters = [
         {"headline": r.headline, "url": r.url, "sources": r.sources, "topic": r.topic, "importance": r.importance, "size": r.size, "one_liner": r.one_liner,
          "also": [(x.source, x.url) for x in r.also or []]} for r in rows
     ]
-    letters = ops.lanes(view.filter(text.week_label(F.col("published")) == F.lit(last or "")))[1]
-    letters = ops.top(letters, 12, [F.desc_nulls_last("published"), F.col("ord")]).orderBy("rank").collect()
+    week = cut(dated_view(spark, d).filter(text.week_label(F.col("published")) == F.lit(last)).select("ord", "source", "source_type", "title", "published"))
+    letters = ops.top(ops.lanes(week)[1], 12, [F.desc_nulls_last("published"), F.col("ord")]).orderBy("rank").collect()
     letters = [{"title": r.title, "source": r.source, "date": r.published.date().isoformat() if r.published else None} for r in letters]
-    n_sources = view.filter(text.week_label(F.col("published")) == F.lit(last or "")).select("source").distinct().count()
-    lines = reports.render(clusters, letters, n_sources).split("\n")
+    lines = reports.render(clusters, letters, week.select("source").distinct().count()).split("\n")
     return spark.createDataFrame([(i, s) for i, s in enumerate(lines, 1)], "line_no int, line string")

@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions.html import looks_paywalled, read_html
-from pressloom.functions.urls import strip
+from pressloom.functions.urls import item_key, strip
 from pressloom.operators.items import first_wins, term_filter, top, union, window_floor
+from pressloom.operators.state import latest
 from pressloom.operators.timestamps import to_utc_micros
 
 ITEM = (
@@ -96,7 +97,8 @@ def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 @register("rss")
 def rss(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
-    """RSS items and Atom entries. Options: path, include, exclude, articles (a table of url and html)."""
+    """RSS items and Atom entries. Options: path, include, exclude, articles (a table of url and html), article_cache (a table
+    of key, value and created: ``article:<item key>`` and the text of an earlier fetch; an empty text is a hit too)."""
     o = cfg.options
     a = _xml(spark, o["path"], "item", "title string, link string, pubDate string, description string, encoded string, author string")
     a = a.select("title", F.col("link").alias("url"), F.col("pubDate").alias("raw"), F.coalesce("description", "encoded").alias("html"), "author")
@@ -115,7 +117,11 @@ def rss(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
     if o.get("full_text") and o.get("articles"):
         pages = spark.read.parquet(o["articles"]).select(F.col("url"), F.col("html").alias("page")).dropDuplicates(["url"])
         items = items.join(pages, "url", "left").withColumn("text", F.when(F.col("page").isNotNull(), read_html("page")["article"]))
-        stub = F.col("page").isNotNull() & looks_paywalled(F.col("text"))
+        if o.get("article_cache"):
+            known = latest(spark.read.parquet(o["article_cache"]).select("key", "value", "created")).select(F.col("key").alias("__key"), F.col("value").alias("__cached"))
+            key = F.concat(F.lit("article:"), item_key(F.col("url"), F.lit(cfg.type), F.coalesce("title", F.lit(""))))
+            items = items.withColumn("__key", key).join(known, "__key", "left").withColumn("text", F.coalesce("__cached", "text")).drop("__key", "__cached")
+        stub = F.col("text").isNotNull() & looks_paywalled(F.col("text"))
         items = items.withColumn("paywalled", stub).withColumn("text", F.when(~stub, F.col("text")))
     return shaped(top(items, limit_of(cfg), [F.col("position")], "position_"), cfg)
 
@@ -130,13 +136,17 @@ def paywalled(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFram
 
 @register("hackernews")
 def hackernews(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
-    """Search replies {query_no, hits: [...]}. First of each id across queries; ranked by points, then cut."""
+    """Search replies {query_no, hits: [...]}. First of each id across queries; a query counts only while those before it gave
+    fewer than the limit; ranked by points, then cut."""
     schema = "query_no long, hits array<struct<objectID: string, title: string, url: string, points: long, num_comments: long, created_at_i: long, story_text: string>>"
     raw = spark.read.schema(schema).option("multiLine", "true").json(cfg.options["path"])
     h = raw.select(F.coalesce("query_no", F.lit(0)).alias("q"), F.posexplode("hits").alias("p", "h")).select("q", "p", "h.*")
     h = h.filter((F.coalesce("objectID", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
     h = h.filter((F.coalesce("points", F.lit(0)) >= cfg.options.get("min_points", 80)) & (F.timestamp_seconds("created_at_i") > since))
     h = first_wins(h, ["objectID"], [F.col("q"), F.col("p")])
+    sizes = h.groupBy("q").agg(F.count(F.lit(1)).alias("n"))  # one row a query
+    before = F.coalesce(F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    h = h.join(F.broadcast(sizes.withColumn("before", before).filter(F.col("before") < limit_of(cfg)).select("q")), "q", "left_semi")
     h = top(h, limit_of(cfg), [F.desc_nulls_last("points"), F.col("q"), F.col("p")], "position")
     talk = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("objectID"))
     counts = F.format_string("%d points, %d comments on Hacker News.", F.coalesce("points", F.lit(0)), F.coalesce("num_comments", F.lit(0)))
@@ -187,8 +197,11 @@ def arxiv(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
 
 @register("imap")
 def imap(spark: SparkSession, cfg: SourceConfig, since: Column) -> DataFrame:
-    """Messages as .eml files, newest (last name) first. Options: path, senders, subject_include."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(cfg.options["path"]).select("path", "content")
+    """Messages as .eml files, newest (last name) first; only the last three times as many as the limit are looked at, whatever
+    the filters leave of them. Options: path, senders, subject_include."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(cfg.options["path"])
+    newest = files.select("path").orderBy(F.desc("path")).limit(3 * limit_of(cfg))
+    files = files.select("path", "content").join(F.broadcast(newest), "path", "left_semi")
     schema = "path string, subject string, sender string, raw string, html string, plain string"
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
