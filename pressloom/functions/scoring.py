@@ -11,39 +11,60 @@ from pyspark.sql import functions as F
 from pressloom.functions.text import age_days
 
 # The default lexicons.
-STRONG = (
-    "artificial intelligence, machine learning, deep learning, neural network, large language model, language model, foundation model, "
-    "frontier model, generative ai, genai, llm, llms, gpt, chatgpt, claude, gemini, llama, mistral, deepseek, qwen, transformer, "
-    "diffusion model, stable diffusion, midjourney, openai, anthropic, deepmind, hugging face, mixture of experts, fine-tune, "
-    "fine-tuning, fine-tuned, rlhf, reinforcement learning, embeddings, inference, ai agent, agentic, copilot, agi, superintelligence, "
-    "alignment, multimodal, prompt injection, prompt engineering, model weights, open-weight, open weights, training data, "
-    "hallucination, chain of thought, computer vision, speech recognition, recommendation algorithm"
-).split(", ")
-WEAK = (
-    "ai, a.i., algorithm, algorithmic, chatbot, automation, automate, data center, datacenter, gpu, gpus, nvidia, chip, chips, "
-    "semiconductor, compute, robot, robotics, autonomous, deepfake, synthetic media, facial recognition, self-driving, model, models, "
-    "benchmark, benchmarks, token, tokens, parameters, training, trained, dataset, reasoning, assistant, agent, agents, "
-    "context window, open-source model, lab, labs"
-).split(", ")
-EVENT = (
-    "launch, launches, launched, release, releases, released, unveil, unveils, announce, announces, announced, ship, ships, shipped, "
-    "raise, raises, raised, funding, acquire, acquires, acquisition, merger, ipo, ban, bans, banned, rule, rules, ruling, regulate, "
-    "regulation, lawsuit, sues, sued, settle, settlement, breach, leak, resign, resigns, fired, layoff, layoffs, shut down, "
-    "open-source, open sources, partnership, deal"
-).split(", ")
-LOW_VALUE = (
-    "best, top 10, top 5, how to, why you should, everything you need, review:, hands-on, deals, roundup, explainer, opinion:, guide to"
-).split(", ")
+# fmt: off
+STRONG = [
+    "artificial intelligence", "machine learning", "deep learning", "neural network", "large language model", "language model", "foundation model",
+    "frontier model", "generative ai", "genai", "llm", "llms", "gpt", "chatgpt", "claude", "gemini", "llama", "mistral", "deepseek", "qwen",
+    "transformer", "diffusion model", "stable diffusion", "midjourney", "openai", "anthropic", "deepmind", "hugging face", "mixture of experts",
+    "fine-tune", "fine-tuning", "fine-tuned", "rlhf", "reinforcement learning", "embeddings", "inference", "ai agent", "agentic", "copilot", "agi",
+    "superintelligence", "alignment", "multimodal", "prompt injection", "prompt engineering", "model weights", "open-weight", "open weights",
+    "training data", "hallucination", "chain of thought", "computer vision", "speech recognition", "recommendation algorithm",
+]
+WEAK = [
+    "ai", "a.i.", "algorithm", "algorithmic", "chatbot", "automation", "automate", "data center", "datacenter", "gpu", "gpus", "nvidia", "chip",
+    "chips", "semiconductor", "compute", "robot", "robotics", "autonomous", "deepfake", "synthetic media", "facial recognition", "self-driving",
+    "model", "models", "benchmark", "benchmarks", "token", "tokens", "parameters", "training", "trained", "dataset", "reasoning", "assistant",
+    "agent", "agents", "context window", "open-source model", "lab", "labs",
+]
+EVENT = [
+    "launch", "launches", "launched", "release", "releases", "released", "unveil", "unveils", "announce", "announces", "announced", "ship", "ships",
+    "shipped", "raise", "raises", "raised", "funding", "acquire", "acquires", "acquisition", "merger", "ipo", "ban", "bans", "banned", "rule",
+    "rules", "ruling", "regulate", "regulation", "lawsuit", "sues", "sued", "settle", "settlement", "breach", "leak", "resign", "resigns", "fired",
+    "layoff", "layoffs", "shut down", "open-source", "open sources", "partnership", "deal",
+]
+LOW_VALUE = [
+    "best", "top 10", "top 5", "how to", "why you should", "everything you need", "review:", "hands-on", "deals", "roundup", "explainer", "opinion:",
+    "guide to",
+]
 TOPICS = {
-    "policy-and-regulation": "regulat, law, bill, congress, senate, parliament, commission, court, lawsuit, sued, ban, policy, antitrust, copyright, compliance, executive order",
-    "business-and-funding": "funding, raise, raised, valuation, ipo, acquire, acquisition, merger, revenue, profit, layoff, hire, resign, ceo, startup, investor, deal",
-    "compute-and-infrastructure": "data center, datacenter, gpu, chip, nvidia, tpu, semiconductor, cluster, capacity, energy, power, supply",
-    "safety-and-alignment": "safety, alignment, misuse, jailbreak, red team, guardrail, risk, bioweapon, prompt injection, abuse",
-    "research": "paper, preprint, arxiv, benchmark, study, researchers, we propose, state-of-the-art, evaluation",
-    "models-and-releases": "model, release, launch, version, preview, open-source, open weights, api, context window",
-    "products-and-tools": "app, feature, product, tool, integration, plugin, assistant, rollout, users",
-    "society-and-labor": "jobs, workers, employment, school, student, artist, writer, union, public",
+    "policy-and-regulation": [
+        "regulat", "law", "bill", "congress", "senate", "parliament", "commission", "court", "lawsuit", "sued", "ban", "policy", "antitrust",
+        "copyright", "compliance", "executive order",
+    ],
+    "business-and-funding": [
+        "funding", "raise", "raised", "valuation", "ipo", "acquire", "acquisition", "merger", "revenue", "profit", "layoff", "hire", "resign", "ceo",
+        "startup", "investor", "deal",
+    ],
+    "compute-and-infrastructure": [
+        "data center", "datacenter", "gpu", "chip", "nvidia", "tpu", "semiconductor", "cluster", "capacity", "energy", "power", "supply",
+    ],
+    "safety-and-alignment": [
+        "safety", "alignment", "misuse", "jailbreak", "red team", "guardrail", "risk", "bioweapon", "prompt injection", "abuse",
+    ],
+    "research": [
+        "paper", "preprint", "arxiv", "benchmark", "study", "researchers", "we propose", "state-of-the-art", "evaluation",
+    ],
+    "models-and-releases": [
+        "model", "release", "launch", "version", "preview", "open-source", "open weights", "api", "context window",
+    ],
+    "products-and-tools": [
+        "app", "feature", "product", "tool", "integration", "plugin", "assistant", "rollout", "users",
+    ],
+    "society-and-labor": [
+        "jobs", "workers", "employment", "school", "student", "artist", "writer", "union", "public",
+    ],
 }
+# fmt: on
 EDGE = r"[\p{L}\p{N}_\-]"
 
 
@@ -53,7 +74,7 @@ class Lexicon:
     weak: list[str] = field(default_factory=lambda: WEAK)
     event: list[str] = field(default_factory=lambda: EVENT)
     low_value: list[str] = field(default_factory=lambda: LOW_VALUE)
-    topics: dict[str, str] = field(default_factory=lambda: TOPICS)
+    topics: dict[str, list[str]] = field(default_factory=lambda: TOPICS)
     #: Source types that are on topic as such, with the topic they get.
     on_topic: dict[str, str] = field(default_factory=lambda: {"arxiv": "research"})
 
@@ -116,7 +137,7 @@ def topic(text: Column, source_type: Column, lx: Lexicon) -> Column:
     """The first topic with any term as a substring; 'other' where there is none."""
     out = F.lit("other")
     for name, terms in reversed(lx.topics.items()):
-        out = F.when(holds_any(text, terms.split(", ")), name).otherwise(out)
+        out = F.when(holds_any(text, terms), name).otherwise(out)
     for kind, name in lx.on_topic.items():
         out = F.when(source_type == kind, name).otherwise(out)
     return out

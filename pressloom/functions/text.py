@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from pressloom.functions.urls import strip
 
 # Words that a headline's tokens leave out.
-STOPWORDS = (
-    "the a an and or but for with from into that this its it of to in on at by as is are was were be been has have had "
-    "will would can could new says said after over how why what more than not you your"
-).split()
+# fmt: off
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "for", "with", "from", "into", "that", "this", "its", "it", "of", "to", "in", "on", "at", "by", "as", "is",
+    "are", "was", "were", "be", "been", "has", "have", "had", "will", "would", "can", "could", "new", "says", "said", "after", "over", "how", "why",
+    "what", "more", "than", "not", "you", "your",
+]
+# fmt: on
 
 
 def tidy(c: Column) -> Column:

@@ -95,9 +95,13 @@ def tz_version() -> str:
         return "unknown"
 
 
+#: 2100-01-01, and the seconds of the 400 years after which weekdays and leap years repeat.
+FAR, CYCLE = 4_102_444_800, 146_097 * 86_400
+
+
 @functools.lru_cache(None)
-def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(first wall second of each era, its offset) from 1900 to 2100; None for a name the tz database lacks.
+def zone_table(name: str, far: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """(first wall second of each era, its offset) from 1900 to 2100 (``far``: to 2500); None for a name the tz database lacks.
 
     An era starts, on the wall clock, at transition + max(old, new offset): so a repeated wall time takes the old
     (earlier) offset and a skipped one is read with the old offset, which moves it forward by the gap.
@@ -113,7 +117,7 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     def offset(s: int) -> int:
         return int((epoch + dt.timedelta(seconds=s)).astimezone(utc).astimezone(zone).utcoffset().total_seconds())
 
-    step, lo, hi = 14 * 86400, -2_208_988_800, 4_102_444_800
+    step, lo, hi = 14 * 86400, -2_208_988_800, FAR + CYCLE if far else FAR
     walls, offsets = [np.iinfo(np.int64).min], [offset(lo)]
     old, a = offsets[0], lo
     while a < hi:
@@ -135,9 +139,12 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
 
 def wall_offset(seconds: np.ndarray, name: str | None) -> np.ndarray:
     """Offset from UTC of wall-clock seconds in a zone; UTC where the name is null or unknown."""
-    t = zone_table(name) if name else None
+    late = bool((seconds >= FAR - 2 * 86400).any())
+    t = zone_table(name, late) if name else None
     if t is None:
         return np.zeros(len(seconds), np.int64)
+    if late:  # a zone's last rule goes on, and the calendar repeats every 400 years
+        seconds = np.where(seconds >= FAR + CYCLE - 2 * 86400, (seconds - FAR + 2 * 86400) % CYCLE + FAR - 2 * 86400, seconds)
     return t[1][np.searchsorted(t[0], seconds, side="right") - 1]
 
 

@@ -311,7 +311,7 @@ scored AS (SELECT *, (source_type = 'arxiv' OR title_strong >= 1 OR title_weak >
   greatest(1, least(5, 2 + (strong >= 2)::INT + (event >= 1)::INT + (engagement >= 500)::INT + ({also} >= 1)::INT - {_sql_any('lt', LX.low_value)}::INT
     - coalesce((epoch_us(TIMESTAMP '{NOW}') - epoch_us(published)) / 86400000000.0 > 10, false)::INT)) AS importance,
   CASE WHEN source_type = 'arxiv' THEN 'research' """
-        + " ".join(f"WHEN {_sql_any('h', t.split(', '))} THEN '{name}'" for name, t in LX.topics.items())
+        + " ".join(f"WHEN {_sql_any('h', t)} THEN '{name}'" for name, t in LX.topics.items())
         + " ELSE 'other' END AS topic FROM s)"
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.operators import cluster, items as ops, reports, state
 from pressloom.operators.graph import components
+from pressloom.runtime import hot_join, salted_join
 
 ITEM = "ord long, source string, source_type string, title string, url string, published timestamp, summary string, text string"
 
@@ -182,3 +183,44 @@ def test_digest_text_and_replies():
     assert "A, B, C\n" in out and "- **N** — L, undated" in out and out.endswith("_Coverage: 4 stories from 1 source._")
     assert reports.find_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and reports.find_json('so: {"a": [1]} ok') == {"a": [1]} and reports.find_json("no") is None
     assert reports.shrink(lambda n: n * 100, 8000) == 4000 and reports.shrink(lambda n: 10**9, 8000) == 1000
+
+
+def test_hubs_are_joined_apart(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 399 - i) for i in range(50)] + [(2000, 2001)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components(df, hub=20).collect()}
+    assert got == {r.node: r.component for r in components(df).collect()} and got[1049] == 0 and got[2001] == 2000
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (None, 1)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, w string")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert rows(hot_join(left, right, "k", "left", 10)) == rows(left.join(right, "k", "left"))
+    assert rows(hot_join(left, right, "k", "inner", 10)) == rows(left.join(right, "k"))
+    assert rows(salted_join(left, right, ["k"], "v")) == rows(left.join(right, "k"))
+
+
+def test_windows_listing_and_weekly_files(spark, tmp_path):
+    now = dt.datetime(2026, 6, 30, tzinfo=dt.timezone.utc)
+    assert reports.since(None, 7, now) == now - dt.timedelta(days=7)
+    assert reports.since("2026-06-01", 7, now) == dt.datetime(2026, 6, 1, tzinfo=dt.timezone.utc)
+    assert reports.since("2026-06-01T02:00:00+02:00", 7, now).utcoffset() == dt.timedelta(hours=2)
+    with pytest.raises(ValueError):
+        reports.since("June", 7, now)
+    rows = [(1, "S" * 40, "rss", "T" * 100, None, None, "", ""), (2, "A", "rss", "t", None, dt.datetime(2026, 1, 2), "", "")]
+    got = [r.line for r in reports.listing(frame(spark, rows)).orderBy("position").collect()]
+    assert got == ["2026-01-02  " + "A".ljust(28) + "  t", "undated  " + "S" * 28 + "  " + "T" * 90]
+    text = "## Head <1>\n\n- **[A](https://x.example/?a=1&b=2)** and _more_\n  One line\n  - also: [B](https://y.example)\n\nEnd"
+    page = reports.to_html(text, "foot")
+    assert "<h2>Head &lt;1&gt;</h2>" in page and '<strong><a href="https://x.example/?a=1&amp;b=2">A</a></strong> and <em>more</em>' in page
+    assert page.count("<ul>") == page.count("</ul>") == 2 and "<p>End</p><footer>foot</footer>" in page and reports.to_html("") != ""
+    paths = reports.write_week(spark, str(tmp_path), "2026-W27", text)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["2026-W27.md", "2026-W27.html"] and (tmp_path / "2026-W27.md").read_text() == text
+
+
+def test_digest_stories(spark):
+    schema = "window string, cluster long, position long, title string, source string, url string, published timestamp, one_liner string, paywalled boolean, also_seen_in array<string>, points long, score long, comments long, summary string, text string, topic string"
+    rows = [("w", 0, 1, "B", "S2", "u2", None, "o2", None, None, None, None, None, "sum", None, "other"), ("w", 0, 0, "A", "S1", "u1", dt.datetime(2026, 1, 2), "o1", True, ["X"], 5, None, 7, "s", "word " * 300, "research")]
+    ranked = spark.createDataFrame([("w", 0, 4, 1)], "window string, cluster long, importance int, rank int")
+    r = reports.digest_stories(spark.createDataFrame(rows, schema), ranked, 100).first()
+    assert (r.headline, r.topic, r.importance, [c.title for c in r.coverage]) == ("A", "research", 4, ["A", "B"])
+    assert r.coverage[0].engagement == '{"points":5,"comments":7}' and r.coverage[1].engagement is None and r.coverage[1].also_seen_in == []
+    assert "truncated" in r.coverage[0].body and r.coverage[1].body == "sum" and r.coverage[1].paywalled is False

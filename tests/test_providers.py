@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pressloom.operators import providers
 from pressloom.operators.providers import Refused, triage
 
 NOW = dt.datetime(2026, 3, 1)
@@ -35,3 +36,37 @@ def test_refused_credentials_stop_the_run(spark):
     items, cache = tables(spark)
     with pytest.raises(Exception, match="Refused"):
         triage(items, cache, provider, F.lit(NOW), [F.col("ord")])[0].collect()
+
+
+def test_grouping_falls_back_to_single_stories():
+    some = [{"title": t, "source": "S", "topic": "other", "importance": i, "one_liner": ""} for t, i in (("A", 2), ("B", 5), ("C", 2), ("D", 1))]
+    reply = lambda payload: [{"members": [2, 0, 0, 9, -1]}, {"headline": "H", "importance": 3, "members": [0, 3]}]
+    got = providers.grouped(some, reply)
+    assert [(c["headline"], c["importance"], c["members"]) for c in got] == [("B", 5, [1]), ("H", 3, [3]), ("C", 2, [2, 0])]
+
+    def broken(payload):
+        raise RuntimeError("no reply")
+
+    assert [c["members"] for c in providers.grouped(some, broken)] == [[0], [1], [2], [3]]
+    assert providers.grouped(some[:1], broken)[0]["headline"] == "A" and providers.grouped([], broken) == []
+
+    def refused(payload):
+        raise providers.Refused("key")
+
+    with pytest.raises(providers.Refused):
+        providers.grouped(some, refused)
+
+
+def test_writing_shrinks_and_falls_back():
+    sizes = []
+
+    def payload_of(n):
+        sizes.append(n)
+        return {"body": "x" * n}
+
+    assert providers.written(payload_of, lambda s: f"{len(s)}", lambda: "plain", per_item=4000, limit=2500) == str(len('{"body": ""}') + 2000)
+
+    def broken(s):
+        raise RuntimeError("no reply")
+
+    assert providers.written(payload_of, broken, lambda: "plain") == "plain"

@@ -124,3 +124,15 @@ def test_policy(tmp_path):
     waits = []
     assert policy.fetch("https://a.example", lambda u: answers.pop(0), 3, waits.append) == "ok" and waits == [60, 4]
     assert policy.fetch("u", lambda u: (404, {}, "x")) is None and policy.fetch("u", lambda u: (200, {"Content-Type": "image/png"}, "x")) == ""
+
+
+def test_search_stops_and_mail_is_capped_before_the_filters(spark, tmp_path):
+    hits = lambda ids: [{"objectID": i, "title": "t", "url": "https://x.example/" + i, "points": int(i), "num_comments": 1, "created_at_i": 1780000000} for i in ids]
+    put(tmp_path / "hn2", "a.json", json.dumps({"query_no": 0, "hits": hits(["100", "101"])}))
+    put(tmp_path / "hn2", "b.json", json.dumps({"query_no": 1, "hits": hits(["900", "100"])}))
+    at = lambda n: {r.points for r in rows(spark, SourceConfig("HN", "hackernews", max_items=n, options={"path": str(tmp_path / "hn2")}))}
+    assert at(2) == {100, 101} and at(3) == {900, 101, 100}
+    for k in range(5):
+        put(tmp_path / "box2", f"{k}.eml", f"Subject: s{k}\nFrom: {'wanted' if k < 2 else 'other'}@x.example\nDate: Mon, 1 Jun 2026 00:00:00 +0000\n\nbody\n")
+    box = lambda n: [r.title for r in rows(spark, SourceConfig("L", "imap", max_items=n, options={"path": str(tmp_path / "box2"), "senders": ["wanted"]}))]
+    assert box(1) == [] and box(2) == ["s1", "s0"]

@@ -1,6 +1,7 @@
 import datetime as dt
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +82,12 @@ def test_round_trip(form):
         v = t.strftime(form)
         mask = re.sub(r"\d", "9", re.sub(r"[^\W\d_]+", "A", v))
         assert parser(mask).parse(pa.array([v]), np.array([None], object))[0] == us(*t.timetuple()[:6])
+
+
+def test_dates_after_the_tables_follow_the_last_rule():
+    for year in (2099, 2100, 2150, 2467, 2600, 3001, 9000):
+        for month in (1, 7):
+            wall = dt.datetime(year, month, 15, 12)
+            want = int(wall.replace(tzinfo=ZoneInfo(BERLIN)).utcoffset().total_seconds())
+            s = np.array([int((wall - dt.datetime(1970, 1, 1)).total_seconds())])
+            assert wall_offset(s, BERLIN)[0] == want
