@@ -284,8 +284,7 @@ def _f(x: str) -> str:
     return rf"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
-ORACLES = {
-    "p6_found": rf"""
+_GROUPS = rf"""
 WITH i AS (SELECT item_id AS id, source_type, coalesce(title, '') AS title, coalesce(url, '') AS url FROM items),
 u AS (SELECT *, regexp_extract(url, '(?s)^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', ['p', 'q', 'f']) AS u FROM i),
 g AS (
@@ -294,6 +293,9 @@ g AS (
       lambda x: {_f("url_decode(regexp_extract(x, '^([^=]*)', 1))")} || '=' || {_f("url_decode(regexp_extract(x, '(?s)=(.*)$', 1))")}))), '&')
     || '#' || {_f("url_decode(u.f)")} END AS k FROM u
   UNION ALL SELECT 'seen_items', seen_id, {_f("coalesce(key, '')")}, 'n' FROM seen_items),
-k AS (SELECT tab, id, t, k, min(id) OVER (PARTITION BY tab, t, k) AS keep_id FROM g WHERE t <> '' OR k LIKE 'u_%')
-SELECT DISTINCT tab, keep_id, id AS dup_id FROM k WHERE id > keep_id"""
+k AS (SELECT tab, id, t, k, min(id) OVER (PARTITION BY tab, t, k) AS keep_id FROM g WHERE t <> '' OR k LIKE 'u_%')"""
+ORACLES = {
+    "p6_found": _GROUPS + " SELECT DISTINCT tab, keep_id, id AS dup_id FROM k WHERE id > keep_id",
+    "p6_counts": _GROUPS + """ SELECT tab, keep_id, count(DISTINCT id) AS n_copies FROM k GROUP BY tab, keep_id
+UNION ALL SELECT DISTINCT tab, id, 1 FROM g WHERE t = '' AND NOT k LIKE 'u_%'""",
 }

@@ -228,4 +228,27 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(caps, "spec_id").select("spec_id", "n_containers", "n_items", "n_split", "n_tokens", F.round(unused, 6).alias("unused"))
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: each spec's documents, and how many are missing, stand twice, are split although they
+    fit, or overfill a container."""
+    docs = token_counts(table(spark, sf_dir, "documents"))
+    specs = [(r.spec_id, r.capacity, r.lang) for r in table(spark, sf_dir, "pack_specs").select("spec_id", "capacity", "lang").toLocalIterator()]
+    docs = cut(docs)
+    got = cut(packed(docs, specs))
+    rules = F.broadcast(spark.createDataFrame([(s, int(c), lang) for s, c, lang in specs], "spec_id int, capacity long, want string"))  # one row a spec
+    sizes = docs.groupBy("doc_id").agg(F.max("n_tokens").alias("n_all"), F.max(F.lower("lang")).alias("lang"))
+    parts = got.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("n_parts"))
+    each = parts.join(sizes, "doc_id").join(rules, "spec_id")
+    of_docs = each.groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("packed") < F.col("n_all")).alias("n_cut"), F.count_if(F.col("packed") > F.col("n_all")).alias("n_repeated"),
+        F.count_if(F.col("n_parts") != F.greatest(F.ceil(F.col("n_all") / F.col("capacity")), F.lit(1))).alias("n_split_wrongly"),
+    )
+    full = got.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(rules, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"))
+    return of_docs.join(full, "spec_id").select("spec_id", "n_documents", "n_cut", "n_repeated", "n_split_wrongly", "n_overfull")
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_checks": p8_checks}
+ORACLES = {
+    "p8_checks": """SELECT spec_id, count(DISTINCT doc_id) AS n_documents, 0 AS n_cut, 0 AS n_repeated, 0 AS n_split_wrongly, 0 AS n_overfull
+FROM pack_specs p JOIN documents d ON p.lang IS NULL OR lower(p.lang) = lower(d.lang) GROUP BY spec_id"""
+}

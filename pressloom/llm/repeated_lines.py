@@ -70,11 +70,11 @@ def blocks(items: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFra
 
 
 def matches(items: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """item_id, source, line_no, n_items, block: each occurrence of a line of a boilerplate block."""
+    """item_id, source, line_no, n1, n_items, block: each occurrence of a line of a boilerplate block."""
     hits, parts = blocks(items, support)
     parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = hits.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int"))
-    got = salted.join(parts, ["n1", "salt"]).select("item_id", "source", "line_no", "n_items", "block")
+    got = salted.join(parts, ["n1", "salt"]).select("item_id", "source", "line_no", "n1", "n_items", "block")
     return got.dropDuplicates(["item_id", "line_no"])
 
 
@@ -103,11 +103,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks of each source: distinct lines, matched occurrences, items of the most frequent line."""
+    """The blocks of each source: different lines, matched occurrences, items of the most frequent line."""
     got = matches(_items(spark, sf_dir))
-    return got.groupBy("source", "block").agg(
-        F.count(F.lit(1)).alias("n_occurrences"), F.max("n_items").alias("n_items")
-    )
+    lines = got.groupBy("source", "block", "n1").agg(F.count(F.lit(1)).alias("n"), F.max("n_items").alias("n_items"))
+    return lines.groupBy("source", "block").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_occurrences"), F.max("n_items").alias("n_items")
+    ).drop("block")
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,14 @@ WITH lines AS (
 )"""
 ORACLES = {
     "p5_found": _LINES + " SELECT DISTINCT item_id, line_no FROM f JOIN often USING (source, line)",
+    "p5_blocks": _LINES.replace("WITH lines", "WITH RECURSIVE lines")
+    + """, n AS (SELECT item_id, source, line_no, line, lead(line) OVER (PARTITION BY item_id ORDER BY line_no) AS after FROM f WHERE line <> ''),
+e AS (SELECT source, line AS a, after AS b FROM n WHERE after IS NOT NULL AND after <> line GROUP BY ALL HAVING count(DISTINCT item_id) >= 5),
+both_ways AS (SELECT * FROM e UNION SELECT source, b, a FROM e),
+reach(source, line, other) AS (SELECT source, line, line FROM often UNION SELECT r.source, r.line, b.b FROM reach r JOIN both_ways b ON b.source = r.source AND b.a = r.other),
+part AS (SELECT source, line, min(other) AS block FROM reach GROUP BY source, line),
+c AS (SELECT source, line, count(*) AS n, count(DISTINCT item_id) AS n_items FROM f GROUP BY source, line)
+SELECT nullif(source, '') AS source, count(*) AS n_lines, sum(n)::BIGINT AS n_occurrences, max(n_items) AS n_items FROM part JOIN c USING (source, line) GROUP BY source, block""",
     "p5_clean": _LINES
     + """, kept AS (
   SELECT item_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (often.line IS NULL) AS text, count(often.line) AS n_removed
