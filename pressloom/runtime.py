@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Largest number of rows of a side that may be broadcast. Above it the plain join is left to the planner.
-BROADCAST_ROWS = 20_000
+#: Most rows and bytes of a side that may be broadcast. Above either the plain join is left to the planner.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only if counting proves that it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint ``df`` for broadcast only if counting proves that it has at most ``max_rows`` rows and ``max_bytes`` bytes of values."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(16) for c in df.columns), F.lit(0))
+    n = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if n.rows <= max_rows and n.bytes <= max_bytes else df
 
 
 def shared_dir(spark: SparkSession) -> str:
