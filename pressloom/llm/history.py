@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pressloom.llm.linewise import BASE, INVERSE, mixed
 from pressloom.operators.graph import components
-from pressloom.runtime import cut, remove, salted_join, scratch, small_side, table
+from pressloom.runtime import cut, hot_join, remove, salted_join, scratch, small_side, table
 
 #: Ordinary words in which two titles of one story may differ; buckets of the tables (more for more data).
 MAY_DIFFER, BUCKETS = 2, 16
@@ -198,7 +198,8 @@ def signed(titles: DataFrame, ordinary: DataFrame) -> DataFrame:
 
         got = titles.select("t", "node", "ws").mapInArrow(mark, "t long, node long, ws array<string>, free array<int>")
     else:
-        each = titles.select("t", F.posexplode("ws").alias("pos", "word")).join(ordinary, "word", "left_semi")
+        each = titles.select("t", F.posexplode("ws").alias("pos", "word"))
+        each = salted_join(each, ordinary, ["word"], "t", "left_semi")
         places = each.groupBy("t").agg(F.array_sort(F.collect_list("pos")).alias("free"))
         got = titles.select("t", "node", "ws").join(places, "t", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
     names = F.filter("ws", lambda w, i: ~F.array_contains("free", i))
@@ -295,12 +296,12 @@ class History:
         if self.empty or changed.isEmpty():
             return None
         each = self._read("titles").select("t", F.explode("ws").alias("word"))
-        holds = each.join(changed, "word", "left_semi").select("t").distinct()
+        holds = salted_join(each, changed, ["word"], "t", "left_semi").select("t").distinct()
         return cut(self._read("titles").join(holds, "t", "left_semi").groupBy("t").agg(F.min(F.struct("ws", "story")).alias("x")).select("t", "x.ws", "x.story"))
 
     def _rooted(self, titles: DataFrame) -> DataFrame:
         """``titles`` (.., story) with ``node``, the story's root."""
-        return titles.join(self.resolve(titles.select("story").distinct()), "story").withColumn("node", F.col("root")).drop("story", "root")
+        return hot_join(titles, cut(self.resolve(titles.select("story").distinct())), "story", "inner").withColumn("node", F.col("root")).drop("story", "root")
 
     def add(self, batch: DataFrame, sources: DataFrame, counted: bool = False) -> DataFrame:
         """Check ``batch`` (seen_id, key, url, title, first_seen, week) against history, append it, and return (seen_id, week_no,
@@ -354,7 +355,7 @@ class History:
             before = cut(olds.join(parts.withColumnRenamed("node", "story"), "story", "left").withColumn("component", F.coalesce("component", "story")))
             canon = before.groupBy("component").agg(F.min("story").alias("canon"))
             merges = cut(before.join(canon, "component").select("story", F.col("canon").alias("root")))
-            told = cut(told.join(canon, "component", "left").select("node", "seen_id", "week_no", F.coalesce("canon", "component", "node").alias("story")))
+            told = cut(salted_join(told, canon, ["component"], "node", "left").select("node", "seen_id", "week_no", F.coalesce("canon", "component", "node").alias("story")))
             firsts = self._read("firsts").join(merges, "story").select(F.col("root").alias("story"), "week_no", "seen_id")
             known = told.select("story", "week_no", "seen_id").unionByName(firsts)
             joined = merges.filter("story <> root")
@@ -362,7 +363,7 @@ class History:
                 self._append("roots", joined)
                 self.merged = True
             stands = told.select("node", "story").unionByName(merges.select(F.col("story").alias("node"), F.col("root").alias("story"))).distinct()
-            new_hashes = inc.join(old.select("h").distinct(), "h", "left_anti")
+            new_hashes = salted_join(inc, old.select("h").distinct(), ["h"], "node", "left_anti")
         first = cut(known.groupBy("story").agg(F.min(F.struct("week_no", "seen_id")).alias("x")).select("story", "x.week_no", "x.seen_id"))
         out = salted_join(told, first.select("story", F.col("week_no").alias("first_week"), F.col("seen_id").alias("first_id")), ["story"], "node")
         out = cut(out.select("seen_id", "week_no", "story", "first_week", "first_id"))

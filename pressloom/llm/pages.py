@@ -27,9 +27,9 @@ KINDS = 5
 
 # Placeholder syntaxes of common template languages.
 SLOT = re.compile(
-    r"\{\{\{?[^{}\n]{1,60}\}?\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|\$\{[^}\n]{1,60}\}|#\{[^}\n]{1,60}\}|%%[\w .|:-]{1,60}%%"
-    r"|%\([\w .|:-]{1,60}\)[sd]|\[\[[^\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|\*\|[^|\n]{1,40}(?:\|[^|\n]{1,40})?\|\*|<!--[^>\n]{1,60}-->"
-    r"|@@[^@\n]{1,60}@@|__[a-zA-Z][\w. |:-]{1,60}?__|\$[a-zA-Z][\w .|:-]{1,60}\$|\{[a-zA-Z][\w .|:-]{1,40}\}"
+    r"\{\{\{?[^{}\n]{1,200}\}?\}\}|\{%[^%\n]{1,200}%\}|<%=?[^%\n]{1,200}%>|\$\{[^}\n]{1,200}\}|#\{[^}\n]{1,200}\}|%%[\w .|:-]{1,200}%%"
+    r"|%\([\w .|:-]{1,200}\)[sd]|\[\[[^\]\n]{1,200}\]\]|\[%[^%\n]{1,200}%\]|\*\|[^|\n]{1,120}(?:\|[^|\n]{1,120})?\|\*|<!--[^>\n]{1,200}-->"
+    r"|@@[^@\n]{1,200}@@|__[a-zA-Z][\w. |:-]{1,200}?__|\$[a-zA-Z][\w .|:-]{1,200}\$|\{[a-zA-Z][\w .|:-]{1,120}\}"
 )
 SIGN = re.compile(r"[{}%$@\]>*_]")
 QUOTE = "“\"«„‘'`‹("
