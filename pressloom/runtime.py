@@ -61,10 +61,11 @@ SALTS = 16
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``left`` joined with ``right`` (few rows a key) so that no task holds all rows of a hot key: the left rows of a key go
-    to ``salts`` tasks by the hash of ``spread_by``, and each right row to all of them."""
+    to ``salts`` tasks by the hash of ``spread_by``, and each right row to all of them. Always a merge join: the repeated right
+    rows compress so well that they might be taken for small enough to broadcast."""
     a = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*on, "__salt"], how).drop("__salt")
+    return a.join(b.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 #: Rows of one key that a task may hold without being called hot.
