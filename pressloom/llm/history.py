@@ -43,7 +43,7 @@ MAY_DIFFER, BUCKETS = 2, 16
 #: Ordinary words that go to every task; beyond that they are joined.
 VOCABULARY = 50_000
 #: Weeks that p4_found takes as one batch.
-WEEKS = 30
+WEEKS = 42
 #: Rows of variants of one Arrow batch.
 SLICE = 100_000
 # Address parameters that choose a view or track a visit, and path pieces and hosts of views and mirrors.
