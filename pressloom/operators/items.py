@@ -143,12 +143,12 @@ def dedupe_ordered(items: DataFrame) -> DataFrame:
     rows that are longer than all before them. The latter are first rows of their (key, length), so partial aggregates come
     before any window: a hot key is reduced to its different lengths, then to (distinct sources x 2 + takeovers) rows.
     """
-    k = keyed(items).select(
+    k = cut(keyed(items).select(  # narrow, and used three times
         "key", "ord", F.coalesce("source", F.lit("")).alias("source"), "published", F.length(body(F.col("text"), F.col("summary"))).alias("len")
-    )
+    ))
     of_length = k.groupBy("key", "len").agg(F.min(F.struct("ord", "source", "published")).alias("x")).select("key", "len", "x.*")
     before = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    taller = of_length.withColumn("most", F.coalesce(F.max("len").over(before), F.lit(-1))).filter("len > most").drop("most")
+    taller = cut(of_length.withColumn("most", F.coalesce(F.max("len").over(before), F.lit(-1))).filter("len > most").drop("most"))
     losers = k.join(taller.select("key", "ord"), ["key", "ord"], "left_anti")
     firsts = losers.groupBy("key", "source", F.col("published").isNull().alias("undated")).agg(F.min(F.struct("ord", "len", "published")).alias("r"))
     rows = taller.select("key", F.struct("ord", "len", "source", "published").alias("r")).unionByName(
@@ -184,9 +184,10 @@ def dedupe_ordered(items: DataFrame) -> DataFrame:
 # ---- history ------------------------------------------------------------------------------------------------------
 
 
-def drop_seen(items: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Items whose key the ledger lacks. Only keys travel; a small ledger is broadcast after its size was checked."""
-    return keyed(items).join(small_side(ledger.select("key").distinct(), 200_000), "key", "left_anti")
+def drop_seen(items: DataFrame, ledger: DataFrame, has_key: bool = False) -> DataFrame:
+    """Items whose key the ledger lacks (``has_key``: the column key is the item's key). Only keys travel; a small ledger is
+    broadcast after its size was checked."""
+    return (items if has_key else keyed(items)).join(small_side(ledger.select("key").distinct(), 200_000), "key", "left_anti")
 
 
 def seen(items: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -349,9 +349,9 @@ def scored_items(spark: SparkSession, d: str) -> DataFrame:
 def run_items(spark: SparkSession, d: str, view: Callable[[SparkSession, str], DataFrame] = item_view) -> DataFrame:
     """The stories of a run, scored: copies merged, newsletters apart, covered ones dropped."""
     i = view(spark, d)
-    merged = ops.dedupe_ordered(i).select("ord", "source", "published", "also_seen_in")
-    kept = ops.lanes(i.drop("source", "published").join(merged, "ord"))[0]
-    return scored(ops.drop_seen(kept, ledger_view(spark, d)), F.size("also_seen_in"))
+    merged = ops.dedupe_ordered(i).select("ord", "key", "source", "published", "also_seen_in")
+    fresh = ops.drop_seen(merged, ledger_view(spark, d), has_key=True)
+    return scored(ops.lanes(i.drop("source", "published").join(fresh, "ord"))[0], F.size("also_seen_in"))
 
 
 @query(_RUN + """ SELECT ord, importance, topic, n_also, row_number() OVER (ORDER BY importance DESC, engagement DESC, ord) AS rank
