@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the folder that all executors share (``spark.checkpoint.dir``, which must be set)."""
+    """This application's folder in the folder that all executors share (``spark.checkpoint.dir``).
+
+    Where the setting is absent, a local master (one process, as in tests) gets a folder of its machine; a cluster must set it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"{tempfile.gettempdir()}/pressloom-shared"
     return f"{at.rstrip('/')}/pressloom-{spark.sparkContext.applicationId}"
 
 
