@@ -8,6 +8,8 @@ order: candidate pairs come from shared rare tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
 from pressloom.operators.items import global_index
-from pressloom.runtime import cut, salted_join
+from pressloom.runtime import cut, salted_join, small_side
 
 
 def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,25 +82,86 @@ def distinct_titles(items: DataFrame) -> DataFrame:
     return toks.distinct().withColumn("t", F.xxhash64("tokens"))
 
 
-def similar_pairs(items: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of distinct token sets that are similar. Complete, by prefix filtering.
+#: Smaller sets under one key, and pairs of one key, beyond which the key gets one more token.
+FEW, MOST = 128, 4_000_000
+
+#: Least size of what a smaller set, and sets of na <= nb tokens, must share to be similar (SQL over n, and over na and nb).
+_LEAST, _NEED = "((2 * n + 2) div 3)", "least((na + nb + 2) div 3, greatest(3, (4 * na + 4) div 5))"
+
+
+def ordered_titles(titles: DataFrame) -> DataFrame:
+    """t, tokens and their hashes h, both rarest first (document frequency, then the token), n, alone (tokens of no other
+    title, the first ones), s and u: the hashes as 128 bits. Written once. ``titles``: t, tokens, a written table."""
+    tokens = titles.select("t", F.explode("tokens").alias("w"))
+    df = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    o = tokens.join(df, "w").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    h = o.select("t", F.col("o.w").alias("tokens"), F.size("o").alias("n"), F.size(F.filter("o", lambda x: x["df"] == 1)).alias("alone"))
+    h = h.withColumn("h", F.transform("tokens", lambda w: F.xxhash64(w)))
+    bits = lambda half: F.expr(f"aggregate(h, 0L, (z, x) -> z | if((x & 64) = {half}, shiftleft(1L, cast(x & 63 as int)), 0L))")
+    return cut(h.withColumns({"s": bits(0), "u": bits(64)}))
+
+
+def _meet(rows: DataFrame, k: int) -> DataFrame:
+    """a, b: a smaller set and another one that meet under a key of k tokens and that neither sizes, places nor bits tell apart."""
+    left = rows.filter("x").select("key", *[F.col(c).alias(c + "a") for c in ("t", "n", "at", "s", "u")])
+    right = rows.select("key", *[F.col(c).alias(c + "b") for c in ("t", "n", "at", "s", "u")])
+    missing = lambda p, q: f"bit_count(s{p} & ~s{q}) + bit_count(u{p} & ~u{q}) <= n{p} - need"
+    told = f"(na < nb or (na = nb and ta < tb)) and {k} + least(na - ata, nb - atb) >= need and {missing('a', 'b')} and {missing('b', 'a')}"
+    return left.join(right.hint("merge"), "key").filter(told.replace("need", _NEED)).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+
+
+def candidates(titles: DataFrame, few: int = FEW, most: int = MOST) -> DataFrame:
+    """a, b: pairs among which are all similar ones of ``ordered_titles``; a pair may come more than once.
+
+    The key of a pair is its rarest shared token, then its two rarest, and so on. A key under which at most ``few`` smaller
+    sets and ``most`` pairs meet is joined; any other is given every further token, so that the pairs that are looked at stay
+    in proportion to the rows however common a token is. The i-th rarest of m shared tokens stands at n - m + i or before in
+    either set. Sets whose k tokens of a common key already suffice are similar and paired under it.
+    """
+    rows = titles.select("t", "n", "alone", "s", "u", F.posexplode("h").alias("at", "key")).withColumn("at", F.col("at") + 1).filter("at > alone")
+    rows, k, found = rows.drop("alone").withColumn("x", F.expr(f"at <= n - {_LEAST} + 1")), 1, []
+    while True:
+        met = rows.groupBy("key").agg(F.count_if("x").alias("nx"), F.count(F.lit(1)).alias("ny"), F.min(F.when(F.col("x"), F.col("n"))).alias("na"))
+        hot = cut(met.filter((F.col("nx") > few) | (F.col("nx") * F.col("ny") > most)).filter("nx > 0").select("key", "na"))
+        least = hot.agg(F.min("na")).first()[0]  # one number
+        if least is None:
+            found.append(_meet(rows, k))
+            return reduce(DataFrame.unionByName, found)
+        few_hot = small_side(hot, 200_000)
+        found.append(cut(_meet(rows.join(few_hot, "key", "left_anti"), k)))
+        need = _NEED.replace("nb", "n")  # of the least set under the key: the least that this one must share
+        warm = cut(rows.join(few_hot, "key").withColumn("last", F.expr(f"n - {need} + {k + 1}")))
+        if (2 * least + 2) // 3 <= k:
+            done = warm.filter(f"x and {_LEAST} <= {k}").select("key", F.col("t").alias("a"), F.col("n").alias("na"))
+            other = warm.filter(f"{need} <= {k}").select("key", F.col("t").alias("b"), F.col("n").alias("nb"))
+            same = salted_join(other, done, ["key"], "b").filter("na < nb or (na = nb and a < b)").filter(f"{_NEED} <= {k}")
+            found.append(cut(same.select("a", "b").distinct()))
+        more = warm.filter("last > at").join(titles.select("t", "h"), "t")
+        more = more.select("t", "n", "s", "u", "key", "at", "x", F.posexplode(F.expr("slice(h, at + 1, last - at)")).alias("i", "w"))
+        rows = more.select(
+            "t", "n", "s", "u", F.xxhash64("key", "w").alias("key"), (F.col("at") + F.col("i") + 1).alias("at"),
+            F.expr(f"x and greatest(3, (4 * n + 4) div 5) > {k} and at + i + 1 <= n - {_LEAST} + {k + 1}").alias("x"),
+        )
+        rows, k = cut(rows), k + 1
+
+
+def similar_titles(titles: DataFrame, few: int = FEW, most: int = MOST) -> DataFrame:
+    """a, b (a < b), ta, tb (their tokens): pairs of ``titles`` (t, tokens; a written table) that are similar. Complete, by
+    prefix filtering with keys as long as needed.
 
     A pair that is similar shares at least 2/3 of the smaller set by the first rule (3 x shared >= |x| + |y| >= 2 |x|) and
     4/5 of it by the second, so it shares one of the |x| - ceil(2 |x| / 3) + 1 rarest tokens of the smaller set x under one
-    global order (document frequency, then the token). Only those prefixes meet all tokens of larger sets: frequent tokens,
-    and with them hot keys, stand at the end of the order and mostly outside every prefix.
+    global order (document frequency, then the token), and so on for its two rarest shared tokens (``candidates``).
     """
-    t = distinct_titles(items)
-    tokens = t.select("t", F.explode("tokens").alias("w"), F.size("tokens").alias("n"))
-    df = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    order = cut(tokens.join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "w"))))
-    prefix = order.filter(F.col("k") <= F.col("n") - F.ceil(2 * F.col("n") / 3) + 1).select("w", F.col("t").alias("a"), F.col("n").alias("na"))
-    other = order.select("w", F.col("t").alias("b"), F.col("n").alias("nb"))
-    cand = salted_join(other, prefix, ["w"], "b").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    cand = cand.select("a", "b").distinct()
-    full = t.select(F.col("t").alias("a"), F.col("tokens").alias("ta"))
-    both = cand.join(full, "a").join(t.select(F.col("t").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.filter(similar(F.col("ta"), F.col("tb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    o = ordered_titles(titles)
+    cand = candidates(o, few, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = cand.join(o.select(F.col("t").alias("a"), F.col("tokens").alias("ta")), "a").join(o.select(F.col("t").alias("b"), F.col("tokens").alias("tb")), "b")
+    return both.filter(similar(F.col("ta"), F.col("tb"))).select("a", "b", "ta", "tb")
+
+
+def similar_pairs(items: DataFrame, few: int = FEW, most: int = MOST) -> DataFrame:
+    """a, b (a < b): pairs of distinct token sets of the items' titles that are similar."""
+    return similar_titles(cut(distinct_titles(items)), few, most).select("a", "b")
 
 
 def event_components(items: DataFrame) -> DataFrame:

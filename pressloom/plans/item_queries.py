@@ -451,11 +451,9 @@ SELECT least(array_to_string(ta, ' '), array_to_string(tb, ' ')) AS a, greatest(
 WHERE 2 * shared >= na + nb - shared OR (10 * shared >= 8 * least(na, nb) AND shared >= 3)""")
 def similar_pairs(spark, d):
     """Pairs of different headlines (as token sets) that are similar."""
-    i = item_view(spark, d)
-    t = cluster.distinct_titles(i).select("t", F.array_join("tokens", " ").alias("s"))
-    p = cluster.similar_pairs(i)
-    both = p.join(t.select(F.col("t").alias("a"), F.col("s").alias("sa")), "a").join(t.select(F.col("t").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    p = cluster.similar_titles(cut(cluster.distinct_titles(item_view(spark, d))))
+    said = lambda c: F.array_join(F.array_sort(c), " ")
+    return p.select(said("ta").alias("sa"), said("tb").alias("sb")).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
 
 
 def weekly_members(spark: SparkSession, d: str, view: Callable[[SparkSession, str], DataFrame] = item_view) -> DataFrame:

@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import random
 
@@ -125,6 +126,41 @@ def test_clusters_against_brute_force(spark):
     assert cluster.event_components(df).count() == len(rows) and cluster.leader_clusters(df.limit(0), "week").count() == 0
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Records that the tasks of each stage have written for others."""
+    jvm, empty = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, empty, jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_pairs_of_headlines_cut_from_one_pattern(spark):
+    """Two million pairs share one of the rarest words of a headline, some 600 are similar; what is shuffled follows the headlines."""
+    rng = random.Random(7)
+    slots = [tuple(rng.choice(["north", "south", "east", "west", "upper"]) + str(i) for i in range(6)) for _ in range(4500)]
+    rows = [(i, " ".join([*s, f"name{i}", f"place{i}", f"firm{i}"])) for i, s in enumerate(slots)]
+    df = spark.createDataFrame(rows, "ord long, title string")
+    before = max(shuffled(spark), default=-1)
+    got = cluster.similar_pairs(df).select(F.hash("a"), F.hash("b")).collect()
+    assert 0 < sum(n for k, n in shuffled(spark).items() if k > before) < 150 * len(rows)
+    n = collections.Counter(slots)
+    assert len(got) == sum(k * (k - 1) // 2 for k in n.values())
+
+
+@pytest.mark.parametrize("few, most", [(128, 4_000_000), (2, 30), (0, 0)])
+def test_longer_keys_lose_no_pair(spark, few, most):
+    rng = random.Random(few)
+    words = [f"word{i}" for i in range(18)] + [f"rare{i}" for i in range(150)]
+    titles = [" ".join(rng.choices(words, [20] * 8 + [5] * 10 + [1] * 150, k=rng.randint(1, 13))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    sets = sorted({tuple(sorted(set(t.split()))) for t in titles})
+    sim = lambda n, x, y: 3 * n >= x + y or (10 * n >= 8 * min(x, y) and n >= 3)
+    want = [(a, b) for a in sets for b in sets if a < b and sim(len(set(a) & set(b)), len(a), len(b))]
+    names = {r.t: tuple(r.tokens) for r in cluster.distinct_titles(df).collect()}
+    got = sorted(tuple(sorted((names[r.a], names[r.b]))) for r in cluster.similar_pairs(df, few, most).collect())
+    assert got == want
+
+
 def test_clusters_keep_all_items_of_a_large_source(spark):
     rows = [(i, "A" if i < 200 else "B", "2026-W01", f"word{i % 97} thing{i % 97} other{i % 97}", 1 + i % 5, i % 7) for i in range(230)]
     df = spark.createDataFrame(rows, "ord long, source string, week string, title string, rank_a int, rank_b int")
