@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pressloom.functions.text import similar, title_tokens
 from pressloom.operators.graph import components
 from pressloom.operators.items import global_index
-from pressloom.runtime import cut, salted_join, small_side
+from pressloom.runtime import cut, hot_join, salted_join, small_side
 
 
 def _leader(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,20 +164,18 @@ def similar_pairs(items: DataFrame, few: int = FEW, most: int = MOST) -> DataFra
     return similar_titles(cut(distinct_titles(items)), few, most).select("a", "b")
 
 
-def event_components(items: DataFrame) -> DataFrame:
+def event_components(items: DataFrame, few: int = FEW, most: int = MOST) -> DataFrame:
     """ord, event (the smallest ord of its items), n_links (of its headline with other headlines), n_items: connected components
     of similar headlines, one row per item; items without tokens stand alone. Not the sequential method."""
-    pairs = cut(similar_pairs(items))
+    rows = items.select("ord", F.array_sort(title_tokens(F.col("title"))).alias("tokens"))
+    rows = cut(rows.withColumn("t", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("alone"), "ord"))))
+    pairs = cut(similar_titles(cut(rows.filter(F.size("tokens") > 0).select("t", "tokens").distinct()), few, most).select("a", "b"))
     parts = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = items.select("ord", F.array_sort(title_tokens(F.col("title"))).alias("tokens"))
-    rows = rows.withColumn("t", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("alone"), "ord")))
-    parted = cut(
-        rows.join(parts.withColumnRenamed("node", "t"), "t", "left").join(links, "t", "left")
-        .select("ord", F.coalesce("component", "t").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    events = parted.groupBy("c").agg(F.min("ord").alias("event"), F.count(F.lit(1)).alias("n_items"))
-    return salted_join(parted, events, ["c"], "ord").select("ord", "event", "n_links", "n_items")
+    linked = cut(parts.withColumnRenamed("node", "t").join(links, "t"))  # each headline of a pair has both
+    parted = cut(hot_join(rows.select("ord", "t"), linked, "t").select("ord", F.coalesce("component", "t").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    events = cut(parted.groupBy("c").agg(F.min("ord").alias("event"), F.count(F.lit(1)).alias("n_items")))
+    return hot_join(parted, events, "c", "inner").select("ord", "event", "n_links", "n_items")
 
 
 def missing_rank(rows: DataFrame) -> DataFrame:

@@ -147,6 +147,22 @@ def test_pairs_of_headlines_cut_from_one_pattern(spark):
     assert len(got) == sum(k * (k - 1) // 2 for k in n.values())
 
 
+def test_events_of_headlines_cut_from_one_pattern(spark):
+    """The same for events: each has the headlines of one choice of words, all linked; copies and empty titles keep their rows."""
+    rng = random.Random(8)
+    slots = [tuple(rng.choice(["north", "south", "east", "west", "upper"]) + str(i) for i in range(6)) for _ in range(3000)]
+    rows = [(i, " ".join([*s, f"name{i}", f"place{i}", f"firm{i}"])) for i, s in enumerate(slots)]
+    rows += [(5000 + i, t) for i, t in rows[:50]] + [(9000, ""), (9001, None)]
+    before = max(shuffled(spark), default=-1)
+    got = {r.ord: (r.event, r.n_links, r.n_items) for r in cluster.event_components(spark.createDataFrame(rows, "ord long, title string")).collect()}
+    assert 0 < sum(n for k, n in shuffled(spark).items() if k > before) < 150 * len(rows)
+    held = collections.defaultdict(list)
+    for i, s in [*enumerate(slots), *((5000 + i, s) for i, s in enumerate(slots[:50]))]:
+        held[s].append(i)
+    want = {i: (min(ids), sum(x < 5000 for x in ids) - 1, len(ids)) for ids in held.values() for i in ids}
+    assert got == want | {9000: (9000, 0, 1), 9001: (9001, 0, 1)}
+
+
 @pytest.mark.parametrize("few, most", [(128, 4_000_000), (2, 30), (0, 0)])
 def test_longer_keys_lose_no_pair(spark, few, most):
     rng = random.Random(few)
